@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id
+from . import language_id, packing, token_files
 
-MODULES = (language_id,)
+MODULES = (language_id, token_files, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
