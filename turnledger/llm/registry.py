@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, near_dedup, packing, token_files
+from . import language_id, mixing, near_dedup, packing, token_files
 
-MODULES = (language_id, token_files, near_dedup, packing)
+MODULES = (language_id, token_files, mixing, near_dedup, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
