@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .common import durable, table
-from .tokens import default_tokenizer, encoder
+from .tokens import SLICE, default_tokenizer, encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -43,9 +43,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         enc = encoder(tokenizer or default_tokenizer())
         here, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column("text").fill_null("")
-            for first, last, *_ in T.slices(texts):
-                ids, counts = enc.encode(texts[first:last].to_pylist())
+            for first, last, buf, off in T.slices(batch.column("text"), SLICE):
+                ids, counts = enc.encode(buf, off)
                 edge = np.r_[0, np.cumsum(counts + 1)]
                 out = np.full(edge[-1], end_id, "<u4")
                 inner = np.ones(edge[-1], bool)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .common import durable, parts, shared_dir, table, text_bytes
-from .tokens import default_tokenizer, encoder
+from .tokens import SLICE, default_tokenizer, encoder
 
 END_ID = 2
 SCHEMA = "doc_id long, row long, ids array<int>"
@@ -34,9 +34,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         enc = encoder(tokenizer or default_tokenizer())
         row = 0
         for batch in batches:
-            texts = batch.column("text").fill_null("")
-            for first, last, *_ in T.slices(texts):
-                ids, counts = enc.encode(texts[first:last].to_pylist())
+            for first, last, buf, off in T.slices(batch.column("text"), SLICE):
+                ids, counts = enc.encode(buf, off)
                 # One more place after each document for the end id.
                 edge = np.r_[0, np.cumsum(counts + 1)]
                 out = np.full(edge[-1], end_id, np.int32)

@@ -11,16 +11,20 @@ from __future__ import annotations
 
 import functools
 import os
-import re
-from itertools import repeat
 
 import numpy as np
 
+from . import text as T
+
 #: Distinct pieces that a worker remembers between batches (memory bound, not a limit on input).
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Bytes of text encoded at once: the larger, the fewer pieces are met anew.
+SLICE = T.SLICE_BYTES
 
-_RUN = re.compile(r"\s\s|\A\s|\s\Z")
-_LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+# White space outside ASCII, in UTF-8 (fixed values of the Unicode standard).
+_WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 
 
 def default_tokenizer() -> str:
@@ -47,11 +51,11 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _add(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 2000):
-            group = pieces[i : i + 2000]
+        for i in range(0, len(pieces), 5000):
+            group = pieces[i : i + 5000]
             ids = np.array(self.plain(" " + " ".join(group)), np.int32)
             first = np.flatnonzero(self.blank_first[ids])
-            if len(first) != len(group):  # a piece that the cut rule doesn't hold for: one at a time
+            if len(first) != len(group):  # some piece holds blanks: one at a time
                 each = [self.plain(" " + p) for p in group]
                 ids = np.array([x for e in each for x in e], np.int32)
                 first = np.cumsum([0, *map(len, each)])[:-1]
@@ -66,44 +70,83 @@ class Encoder:
             self.n += len(group)
             self.used += len(ids)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each)."""
-        pieces: list[str] = []
-        heads: list[list[int]] = []
-        number = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = text.split(" ") if not _RUN.search(text) else _LONE_BLANK.split(text)
-            heads.append(self.plain(own[0]) if own[0] else [])
-            pieces += own[1:]
-            number[i] = len(own) - 1
-        had, used = self.n, self.used
-        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+    @staticmethod
+    def cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Places of the blanks that stand alone between two other characters of one document."""
+        n = len(buf)
+        begins = _ASCII_SPACE[buf]
+        ends = begins.copy()
+        if n and (buf >= 0x80).any():
+            whole = buf.tobytes()
+            for space in _WIDE_SPACES:
+                at = whole.find(space)
+                while at >= 0:
+                    begins[at] = ends[at + len(space) - 1] = True
+                    at = whole.find(space, at + 1)
+        alone = buf == 0x20
+        alone[1:] &= ~ends[:-1]
+        alone[:-1] &= ~begins[1:]
+        edge = off[(off >= 0) & (off < n)]
+        alone[edge] = False  # first in a document
+        last = off[off > 0] - 1
+        alone[last] = False
+        return np.flatnonzero(alone)
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each) of a slice of texts."""
+        n_docs = len(off) - 1
+        cut = self.cuts(buf, off)
+        doc = np.searchsorted(off, cut, "right") - 1
+        number = np.bincount(doc, minlength=n_docs)
+        first_cut = np.cumsum(number) - number
+        next_edge = off[1:][doc]
+        start = cut + 1
+        end = np.minimum(np.r_[cut[1:], len(buf)], next_edge) if len(cut) else start
+        head_end = off[1:].copy()
+        some = number > 0
+        head_end[some] = cut[first_cut[some]]
+        whole = buf.tobytes()
+        heads = [self.plain(whole[a:b].decode("utf-8", "replace")) if b > a else [] for a, b in zip(off[:-1].tolist(), head_end.tolist())]
+
+        # Each distinct piece of the slice is looked up once.
+        _, at_first, inverse, times = np.unique(T.span_hash(T.prefix_sums(buf), start, end), return_index=True, return_inverse=True, return_counts=True)
+        pieces = [whole[a:b].decode("utf-8", "replace") for a, b in zip(start[at_first].tolist(), end[at_first].tolist())]
+        at = np.fromiter((self.known.get(p, -1) for p in pieces), np.int64, len(pieces))
         missing = np.flatnonzero(at < 0)
-        new: list[str] = []
+        # Those found more than once are worth remembering first.
+        missing = missing[np.argsort(-times[missing], kind="stable")]
+        had = self.n
         if len(missing):
-            new = list(dict.fromkeys(pieces[i] for i in missing))
-            self._add(new)
-            at[missing] = np.fromiter((self.known[pieces[i]] for i in missing), np.int64, len(missing))
-        sizes = self.length[at].astype(np.int64)
+            self._add([pieces[i] for i in missing])
+            at[missing] = had + np.arange(len(missing))
+        piece_at = at[inverse]
+
+        sizes = self.length[piece_at].astype(np.int64)
         head = np.array([len(h) for h in heads], np.int64)
         ends = np.r_[0, np.cumsum(sizes)]
         edge = np.r_[0, np.cumsum(number)]
         counts = head + ends[edge[1:]] - ends[edge[:-1]]
         out = np.zeros(counts.sum(), np.int32)
-        base = np.r_[0, np.cumsum(counts)][:-1]
+        base = np.cumsum(counts) - counts
         # Where each piece's ids go: after the heads and pieces before it.
-        doc = np.repeat(np.arange(len(texts)), number)
         to = ends[:-1] + np.cumsum(head)[doc]
         step = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
-        out[np.repeat(to, sizes) + step] = self.ids[np.repeat(self.begin[at], sizes) + step]
+        out[np.repeat(to, sizes) + step] = self.ids[np.repeat(self.begin[piece_at], sizes) + step]
         for i in np.flatnonzero(head):
             out[base[i] : base[i] + head[i]] = heads[i]
-        if self.n > REMEMBERED:
-            for p in new:
-                del self.known[p]
-            self.n, self.used = had, used
+        self._forget(had, [pieces[i] for i in missing], times[missing])
         return out, counts
 
+    def _forget(self, had: int, new: list[str], times: np.ndarray) -> None:
+        """Of the slice's new pieces, most frequent first, as many stay as there is room for; single ones fill half of it at most."""
+        again = int((times > 1).sum())
+        keep = min(again, max(0, REMEMBERED - had))
+        keep = max(keep, min(len(new), REMEMBERED // 2 - had))
+        for p in new[keep:]:
+            del self.known[p]
+        self.n = had + keep
+        self.used = int(self.begin[self.n - 1] + self.length[self.n - 1]) if self.n else 0
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
