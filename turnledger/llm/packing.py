@@ -132,13 +132,15 @@ def _step(source: int, others: list[int], bins, size, fill, capacity: int) -> bo
                 gain = size[x] - size[y]
                 if 0 < gain <= room and (best is None or gain > best[0]):
                     best = (gain, target, (x,), (y,))
+        if best and best[1] == target and best[0] == room:
+            break  # the target is full now: no exchange with it is better
         for n, x in enumerate(mine):
             for z in mine[n + 1 :]:
                 for y in bins[target]:
                     gain = size[x] + size[z] - size[y]
                     if 0 < gain <= room and (best is None or gain > best[0]):
                         best = (gain, target, (x, z), (y,))
-        if best and best[0] == fill[source]:
+        if best and best[1] == target and best[0] == room:
             break
     if best is None:
         return False

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, near_dedup, packing, quality_rules, token_files
+from . import language_id, mixing, near_dedup, packing, quality_rules, token_files, toxicity
 
-MODULES = (language_id, token_files, quality_rules, mixing, near_dedup, packing)
+MODULES = (language_id, token_files, quality_rules, mixing, toxicity, near_dedup, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
