@@ -7,11 +7,13 @@ counts of their signatures, corrected for chance agreement, estimate the similar
 drop what is far below the threshold; the rest is confirmed on the full sets.
 
 Large bands are not expanded into all pairs. In each band all members are first compared
-with one leader. Members that are linked then belong to one component, and only pairs
-across components are still open: a second leader is tried, and at last every member
-outside a band's largest component is compared with all members of other components.
-So every candidate pair either is compared or lies inside a component already, and
-components come out as if all had been.
+with one leader; members that are linked then belong to one component, and only pairs across
+components are still open. Bands that hold more than one component leave those pairs to an
+exact prefix filter: in any fixed order of shingles, two sets at the threshold share a shingle
+among the first n - ceil(threshold * n) + 1 of each. With rare shingles first, variants of one
+text that differ too much share none of these, so they never meet. So every candidate pair is
+compared, lies inside a component already, or is ruled out exactly, and components come out as
+if all had been compared.
 
 Defined results: a document without a word (or with a null text) has an empty set and is
 linked with nothing. Rows that share an id each keep their own set, but a link of either
@@ -32,10 +34,12 @@ from . import text as T
 from .common import durable, table
 from .graph import components
 
-#: 60 bands of 6 minima: a pair at 0.8 shares no band with probability 1.2e-8.
-BANDS, ROWS = 60, 6
+#: 80 bands of 7 minima: a pair at 0.8 shares no band with probability 6.6e-9.
+BANDS, ROWS = 80, 7
 #: Low bits kept of each minimum.
 BITS = 2
+#: Counters of the table by which shingles are ordered from rare to common; any order gives the same links.
+COUNTERS, COUNTER_CHUNK = 1 << 18, 1 << 12
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 MARGIN = 6.0
 
@@ -137,8 +141,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n_hashes: int) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: float, n_hashes: int) -> DataFrame:
-    """The pairs whose signatures don't rule out the threshold."""
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int, n_hashes: int) -> DataFrame:
+    """The pairs whose sizes and signatures don't rule out the threshold."""
+    threshold = percent / 100
     chance = 0.5**BITS
     p = threshold + (1 - threshold) * chance
     least = threshold - MARGIN * np.sqrt(p * (1 - p) / n_hashes) / (1 - chance)
@@ -149,34 +154,85 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: float, n_hashes: i
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
                 yield batch.filter(pa.array(estimate(a, b, n_hashes) >= least)).select(["a", "b"])
 
-    signs = nodes.select("node", "signature")
-    both = pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(signs.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+    def side(c: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(c), F.col("signature").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets meet the threshold."""
-
-    def to_sets(batches):
-        for batch in batches:
-            for first, last, buf, off in T.slices(batch.column("text")):
-                sets = [s.tobytes() for s in shingle_sets(buf, off, shingle_words)]
-                yield pa.RecordBatch.from_arrays([batch.column("node")[first:last], pa.array(sets, pa.binary())], ["node", "shingles"])
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The pairs whose full sets meet the threshold; texts has (node, text)."""
 
     def compare(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("xa"), batch.column("xb")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            sides = []
+            for c in ("ta", "tb"):
+                sets: list[np.ndarray] = []
+                for _, _, buf, off in T.slices(batch.column(c)):
+                    sets += shingle_sets(buf, off, shingle_words)
+                sides.append(sets)
+            for x, y in zip(*sides):
                 inter = len(x) + len(y) - len(np.union1d(x, y))
                 ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(needed, "node", "left_semi")
-    sets = durable(texts.mapInArrow(to_sets, "node long, shingles binary"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
-    return both.select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long").distinct()
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _shingle_counts(texts: DataFrame, shingle_words: int) -> np.ndarray:
+    """How many sets have a shingle of each counter: a table of fixed size."""
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, buf, off in T.slices(batch.column("text")):
+                sets = shingle_sets(buf, off, shingle_words)
+                total += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        chunks = total.reshape(-1, COUNTER_CHUNK)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.arange(len(chunks), dtype=np.int32)), "n": pa.array(list(chunks), pa.list_(pa.int64()))})
+
+    rows = texts.select("text").mapInArrow(count, "chunk int, n array<long>")
+    sums = rows.groupBy("chunk").agg(F.collect_list("n").alias("all"))  # one list per task
+    total = np.zeros(COUNTERS, np.int64)
+    summed = sums.select("chunk", F.aggregate("all", F.array_repeat(F.lit(0).cast("long"), COUNTER_CHUNK), lambda x, y: F.zip_with(x, y, lambda i, j: i + j)).alias("n"))
+    for chunk, n in summed.toLocalIterator():  # COUNTERS numbers in all
+        total[chunk * COUNTER_CHUNK : (chunk + 1) * COUNTER_CHUNK] = n
+    return total
+
+
+def _prefix_pairs(open_: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (node, comp, n) in different components whose prefixes meet and whose sizes fit."""
+    texts = durable(texts.join(open_.select("node"), "node", "left_semi"))
+    counts = _shingle_counts(texts, shingle_words)
+
+    def prefixes(batches):
+        for batch in batches:
+            for first, last, buf, off in T.slices(batch.column("text")):
+                out, number = [], []
+                for s in shingle_sets(buf, off, shingle_words):
+                    keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+                    by = np.lexsort((s, counts[(s % np.uint64(COUNTERS)).astype(np.int64)]))
+                    out.append(s[by[:keep]].view(np.int64))
+                    number.append(keep)
+                node = batch.column("node")[first:last].take(pa.array(np.repeat(np.arange(last - first), number)))
+                place = np.concatenate([np.arange(k) for k in number])
+                yield pa.RecordBatch.from_arrays([node, pa.array(np.concatenate(out)), pa.array(place.astype(np.int32))], ["node", "shingle", "place"])
+
+    rows = texts.mapInArrow(prefixes, "node long, shingle long, place int").join(open_, "node")
+    rare = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle")
+    rows = durable(rows.join(rare, "shingle", "left_semi"))
+    def side(c: str) -> DataFrame:
+        return rows.select("shingle", *(F.col(x).alias(x + c) for x in ("node", "comp", "n", "place")))
+
+    # Where the first shared shingle stands bounds what two sets can share from there on.
+    most = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
+    fits = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+    meet = side("a").join(side("b"), "shingle").filter((F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb")) & fits)
+    meet = meet.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+    return meet.select("a", "b").distinct()
 
 
 def link_documents(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -184,46 +240,37 @@ def link_documents(docs: DataFrame, shingle_words: int = 5, percent: int = 80, b
     rows_ = durable(sketches(docs, shingle_words, bands, rows))
     usable = rows_.filter("doc_id is not null and set_key is not null")
     classes = durable(usable.groupBy("set_key").agg(F.min("doc_id").alias("node")))
-    nodes = usable.join(classes.select(F.col("set_key").alias("key_"), "node"), (F.col("set_key") == F.col("key_")) & (F.col("doc_id") == F.col("node"))).select("node", "signature", "bands").dropDuplicates(["node", "signature"])
-    nodes = durable(nodes)
+    of = classes.select(F.col("set_key").alias("key_"), "node")
+    firsts = usable.join(of, (F.col("set_key") == F.col("key_")) & (F.col("doc_id") == F.col("node")))
+    nodes = durable(firsts.select("node", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["node", "signature"]))
 
-    member = nodes.select(F.explode("bands").alias("key"), "node")
+    # One exchange by key serves both the choice of leaders and the join with them.
+    member = firsts.select(F.explode("bands").alias("key"), "node").repartition("key")
     leaders = member.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last").select("key", "leader")
-    members = durable(member.join(leaders, "key"))
+    members = durable(member.join(leaders.hint("merge"), "key"))
+    in_bands = members.select("node").distinct()
+    texts = durable(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(in_bands, "node", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        likely = durable(_plausible(pairs, nodes, percent / 100, bands * rows))
-        return durable(_confirmed(likely, docs, shingle_words, percent))
+        likely = durable(_plausible(pairs, nodes, percent, bands * rows))
+        return durable(_confirmed(likely, texts, shingle_words, percent))
 
     # Rows that share an id: its sets are linked through it.
     twice = usable.join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b").join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
     first = durable(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     edges = durable(verified(first).union(twice))
 
-    def by_component() -> DataFrame:
-        """The members of bands that still hold more than one component."""
-        label = components(edges)
-        labelled = members.select("key", "node").join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-        open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("key")
-        return durable(labelled.join(open_, "key"))
-
-    # Second leaders, differing from band to band.
-    left = by_component()
-    second = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("leader"), F.col("comp").alias("of"))).alias("l")).select("key", "l.leader", "l.of")
-    pairs = left.join(second, "key").filter("comp <> of").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    tried = durable(pairs.join(first, ["a", "b"], "left_anti"))
-    edges = durable(edges.union(verified(tried)))
-
-    # Whoever is outside a band's largest component, against all of the other components.
-    left = by_component()
-    sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    outside = left.join(largest, "key").filter("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    rest = outside.join(left, "key").filter("cx <> comp").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = durable(rest.join(first.union(tried), ["a", "b"], "left_anti"))
-    edges = durable(edges.union(verified(rest)))
-
+    # Bands that still hold more than one component, beyond the pairs with their leaders.
     label = components(edges)
+    labelled = members.select("key", "node").join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi and size > 2").select("key")
+    open_nodes = labelled.join(open_keys, "key", "left_semi").select("node", "comp").distinct()
+    open_ = durable(open_nodes.join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node"))
+    rest = durable(_prefix_pairs(open_, texts, shingle_words, percent).join(first, ["a", "b"], "left_anti"))
+    more = verified(rest)
+    if more.limit(1).count():
+        label = components(durable(edges.union(more)))
+
     of_class = classes.join(label, "node", "left").select("set_key", F.coalesce("label", "node").alias("component"))
     return (
         rows_.select("doc_id", "n_shingles", "set_key")
