@@ -40,6 +40,8 @@ LENGTH = 100
 GRAM = 32
 #: Bytes of text whose anchors make one range of hashes, on average.
 RANGE_BYTES = 16 << 20
+#: Bytes of text whose anchors are found, or whose suffixes are sorted, at once (a run).
+RUN_BYTES = 1 << 20
 
 _LEAST = -(1 << 63)
 _PLACE_BITS = 27  # a slice, or one document, is shorter than 2^27 bytes
@@ -91,7 +93,7 @@ def _exchange_grams(base: DataFrame, length: int, buckets: int) -> DataFrame:
     def find(batches):
         for batch in batches:
             ks, subs = batch.column("k").to_numpy(), batch.column("sub").to_numpy()
-            for first, last, buf, off in T.slices(batch.column("text")):
+            for first, last, buf, off in T.slices(batch.column("text"), RUN_BYTES):
                 at, lo, hi = anchors(buf, off, length)
                 if not len(at):
                     continue
@@ -257,7 +259,7 @@ def _exchange_suffixes(base: DataFrame, candidates: DataFrame, length: int, buck
             edge = lists.offsets.to_numpy()
             flat = lists.values
             own, codes = flat.field("sub").to_numpy(), flat.field("code").to_numpy()
-            for first, last, buf, off in T.slices(batch.column("text")):
+            for first, last, buf, off in T.slices(batch.column("text"), RUN_BYTES):
                 inner = np.arange(edge[first], edge[last])
                 doc = np.searchsorted(edge[first : last + 1], inner, "right") - 1
                 mine = own[inner] == subs[first:last][doc]  # rows that share an id get each other's candidates
