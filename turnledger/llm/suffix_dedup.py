@@ -174,7 +174,7 @@ def shared_prefixes(keys: list[bytes]) -> np.ndarray:
     n = np.array([len(x) for x in keys])
     out = np.zeros(len(keys), np.int64)
     if len(keys) > 1:
-        wide = int(n.max())
+        wide = max(1, int(n.max()))
         m = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in keys), np.uint8).reshape(len(keys), wide)
         differ = m[1:] != m[:-1]
         out[1:] = np.minimum(np.where(differ.any(1), differ.argmax(1), wide), np.minimum(n[1:], n[:-1]))
