@@ -74,6 +74,11 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int):
     return at[first], start[first], start[last]
 
 
+def gram_keys(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The grams' hashes mixed once more: anchors have small hashes, ranges need even ones."""
+    return T.mix(T.span_hash(sums, at, at + GRAM) + _U64(0x9E3779B97F4A7C15))
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> _U64(32)) * _U64(buckets)) >> _U64(32)).astype(np.int32)
 
@@ -97,7 +102,7 @@ def _exchange_grams(base: DataFrame, length: int, buckets: int) -> DataFrame:
                 at, lo, hi = anchors(buf, off, length)
                 if not len(at):
                     continue
-                h = T.span_hash(T.prefix_sums(buf), at, at + GRAM)
+                h = gram_keys(T.prefix_sums(buf), at)
                 doc = np.searchsorted(off, at, "right") - 1
                 code = ((at - off[doc]) << 16) | ((at - hi) << 8) | (at - lo)
                 k, sub = ks[first:last][doc], subs[first:last][doc].astype(np.int32)
@@ -269,7 +274,7 @@ def _exchange_suffixes(base: DataFrame, candidates: DataFrame, length: int, buck
                 at = off[doc] + pos
                 a, b = at - jhi, at + length - jlo
                 sums = T.prefix_sums(buf)
-                h = T.span_hash(sums, at, at + GRAM)
+                h = gram_keys(sums, at)
                 whole = T.span_hash(sums, a, b)
                 k, sub = ks[first:last][doc], subs[first:last][doc].astype(np.int32)
                 # Equal surroundings in this slice: all but the first occurrence go at once.
