@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core
+from . import core, report
 
-MODULES = (core,)
+MODULES = (core, report)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
