@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core, report
+from . import core, report, texts
 
-MODULES = (core, report)
+MODULES = (core, report, texts)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
