@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; one longer document makes a slice of its own.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
+#: Powers are kept for slices up to this size.
+_KEPT_POWERS = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -50,7 +52,7 @@ def powers(base: int, n: int) -> np.ndarray:
     had = _powers.get(base)
     if had is not None and len(had) >= n:
         return had[:n]
-    size = max(n, SLICE_BYTES + 1)
+    size = n if n > _KEPT_POWERS + 1 else 1 << (n - 1).bit_length() if n > 1 else 1
     out = np.empty(size, np.uint64)
     out[0] = 1
     m = 1
@@ -58,7 +60,7 @@ def powers(base: int, n: int) -> np.ndarray:
         k = min(m, size - m)
         out[m : m + k] = out[:k] * np.uint64(pow(base, m, 1 << 64))
         m += k
-    if n <= SLICE_BYTES + 1:
+    if n <= _KEPT_POWERS + 1:
         _powers[base] = out
     return out[:n]
 

@@ -17,9 +17,9 @@ import numpy as np
 from . import text as T
 
 #: Distinct pieces that a worker remembers between batches (memory bound, not a limit on input).
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Bytes of text encoded at once: the larger, the fewer pieces are met anew.
-SLICE = T.SLICE_BYTES
+SLICE = 1 << 21
 
 # White space outside ASCII, in UTF-8 (fixed values of the Unicode standard).
 _WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
