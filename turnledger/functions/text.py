@@ -22,6 +22,8 @@ REDACTIONS = [
     r"(?i)\b[0-9a-f]{16,}\b",
     r"\b\d{7,}\b",
 ]
+#: Java's word boundary follows Unicode; this one is between ASCII word characters and all others.
+ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 # Words that are no keywords.
 STOP_WORDS = (
     "the a an and or but if then else for to of in on at by with from into as is are was were be been being do does did done can could should would will shall may might "
@@ -35,7 +37,7 @@ SHINGLE_WORDS = 8
 
 def redact_text(text: Column) -> Column:
     for pattern in REDACTIONS:
-        text = F.regexp_replace(text, pattern, " ")
+        text = F.regexp_replace(text, pattern.replace(r"\b", ASCII_BOUNDARY), " ")
     return text
 
 
