@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import held_out, table
+from .common import held_out, small_batches, table
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 20_000
@@ -209,21 +209,21 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Fitted on the stage's own input. Rows keep all their columns.
     """
+    small_batches(spark)
     model = fit(docs)
-    columns = docs.columns
 
-    def keep(batches):
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for first, last, buf, off in T.slices(batch.column("text")):
-                if model is None:
-                    break
-                margins, count = model.margins(buf, off)
-                _, _, lead = model.decode(margins)
-                ok[first:last] = (count > 0) & (lead >= model.min_lead)
-            yield batch.filter(pa.array(ok))
-
-    return docs.mapInArrow(keep, docs.schema).select(*columns)
+    @F.arrow_udf("boolean")
+    def clear(texts: pa.Array) -> pa.Array:
+        ok = np.zeros(len(texts), bool)
+        for first, last, buf, off in T.slices(texts):
+            if model is None:
+                break
+            margins, count = model.margins(buf, off)
+            _, _, lead = model.decode(margins)
+            ok[first:last] = (count > 0) & (lead >= model.min_lead)
+        return pa.array(ok)
+
+    return docs.filter(clear("text"))
 
 
 QUERIES = {"op1_language_id": op1_language_id}

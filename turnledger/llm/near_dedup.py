@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import durable, table
+from .common import durable, small_batches, table
 from .graph import components
 
 #: 80 bands of 7 minima: a pair at 0.8 shares no band with probability 6.6e-9.
@@ -290,6 +290,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest id, of each group of near duplicates (five-word shingles, 0.8)."""
+    small_batches(spark)
     gone = link_documents(docs).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

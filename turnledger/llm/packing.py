@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import durable, table
+from .common import durable, small_batches, table
 from .tokens import SLICE, default_tokenizer, encoder
 
 CAPACITY = 2048
@@ -198,6 +198,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents left by the stages before; repeats are packed as documents of their own."""
+    small_batches(spark)
     return pack_documents(docs)
 
 

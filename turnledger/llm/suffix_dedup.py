@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import parts, table, text_bytes
+from .common import parts, small_batches, table, text_bytes
 
 LENGTH = 100
 GRAM = 32
@@ -475,6 +475,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated strings out of the texts; n_chars follows, and a document left without a word goes."""
+    small_batches(spark)
     cut = remove_repeats(docs.select("doc_id", "text")).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "n_bytes", "kept_text")
     joined = docs.join(cut, docs["doc_id"] == cut["_id"], "left")
     out = joined.withColumn("text", F.coalesce("kept_text", "text")).filter(F.col("_id").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
