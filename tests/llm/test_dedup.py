@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from turnledger.llm import near_dedup as N
 from turnledger.llm import suffix_dedup as S
@@ -48,6 +49,29 @@ def test_suffix_dedup_awkward_rows(awkward, nothing):
     assert out.columns == awkward.columns
 
 
+def test_suffix_dedup_stage_cuts_each_row_by_itself(awkward):
+    rng = random.Random(8)
+    x, y, z, u = ("".join(rng.choice("abcdefg ") for _ in range(200)) for _ in range(4))
+    more = [(20, x), (20, x), (21, y + " one"), (21, z + " two"), (22, "three " + z + y), (22, "four " + x), (None, u), (None, u), (None, u + " five")]
+    docs = awkward.unionByName(awkward.sparkSession.createDataFrame([(i, t, "en", "a", len(t), True, "n", 0, 0.5) for i, t in more], awkward.schema))
+    seen, want = set(), []
+    for r in docs.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit("")))).collect():
+        b = (r.text or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(b[p : p + 100])
+        left = bytes(c for c, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+        if not any(gone):
+            want.append(tuple(r))
+        elif left.strip(" \t\n\v\f\r"):
+            want.append((r.doc_id, left, r.lang, r.source, len(left), *r[5:]))
+    got = [tuple(r) for r in S.stage(awkward.sparkSession, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(r[:2] == (20, x) for r in got) == 1  # of a repeated row the first stays
+
+
 def test_loser_tree_merges_and_knows_shared_prefixes():
     rng = random.Random(4)
     for _ in range(30):

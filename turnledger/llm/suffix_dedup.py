@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
 from . import text as T
 from .common import parts, small_batches, table, text_bytes
@@ -406,15 +407,21 @@ def _resolve_chunk(k, sub, code, around: list[bytes], group, length: int, remove
     remove(k[o], sub[o], begin + step[first], begin + step[last] + length)
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """k, sub, text and the list of (sub, first, last) ranges of every row, for dedup and strip."""
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
+    """k, sub, text and the list of (sub, first, last) ranges of every row, for dedup and strip.
+
+    With carry also row, the row's columns but the text, and missing, whether the text is null.
+    """
     spark = docs.sparkSession
     buckets = parts(spark, text_bytes(docs), RANGE_BYTES)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    own = [F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"), F.col("text").isNull().alias("missing")] if carry else []
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("k"), F.coalesce("text", F.lit("")).alias("text"), *own)
     base = base.withColumn("sub", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("text"))))
-    removed = _exchange_suffixes(base, _exchange_grams(base, length, buckets), length, buckets)
+    # Rows with the same id and text may be numbered the other way round each time; their ranges fit either.
+    narrow = base.select("k", "sub", "text")
+    removed = _exchange_suffixes(narrow, _exchange_grams(narrow, length, buckets), length, buckets)
     ranges = removed.groupBy("k").agg(F.collect_list(F.struct("sub", "first", "last")).alias("ranges"))
-    return base.join(ranges, "k", "left").select("k", "sub", "text", "ranges")
+    return base.join(ranges, "k", "left").select("k", "sub", "text", "ranges", *(["row", "missing"] if carry else []))
 
 
 def _kept(batch: pa.RecordBatch):
@@ -473,13 +480,32 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def cut_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """row (the columns but the text), text (what is left of the row's own one) and n_removed of every row."""
+    found = repeated_ranges(docs, length, carry=True)
+
+    def finish(batches):
+        for batch in batches:
+            row, missing = batch.column("row"), batch.column("missing").to_pylist()
+            kept = [(x.decode("utf-8", "ignore") if len(x) < len(d) else d.decode("utf-8", "replace"), len(d) - len(x)) for d, x, _ in _kept(batch)]
+            for i in range(0, len(kept), 2000):
+                part = kept[i : i + 2000]
+                texts = pa.array([None if m else t for (t, _), m in zip(part, missing[i : i + 2000])], pa.string())
+                yield pa.RecordBatch.from_arrays([row[i : i + len(part)], texts, pa.array([n for _, n in part], pa.int64())], ["row", "text", "n_removed"])
+
+    schema = D.StructType([D.StructField("row", found.schema["row"].dataType), D.StructField("text", D.StringType()), D.StructField("n_removed", D.LongType())])
+    return found.mapInArrow(finish, schema)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated strings out of the texts; n_chars follows, and a document left without a word goes."""
+    """Cuts repeated strings out of each row's own text; n_chars follows, and a row whose cut left no word goes."""
     small_batches(spark)
-    cut = remove_repeats(docs.select("doc_id", "text")).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "n_bytes", "kept_text")
-    joined = docs.join(cut, docs["doc_id"] == cut["_id"], "left")
-    out = joined.withColumn("text", F.coalesce("kept_text", "text")).filter(F.col("_id").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.withColumn("n_chars", F.when(F.col("_id").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = cut_rows(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    kinds = dict(docs.dtypes)
+    own = {c: F.col("row")[c] for c in docs.columns if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(own["n_chars"]).cast(kinds["n_chars"])
+    return cut.select(*(own[c].alias(c) for c in docs.columns))
 
 
 QUERIES = {"op6_suffix_dedup": op6_suffix_dedup}
