@@ -62,6 +62,20 @@ def test_mix_meets_targets(spark):
     assert counts == Counter({i: c for i, c in zip(drawn["doc_id"], drawn["_copies"]) if c})
 
 
+def test_every_shard_holds_the_sources_by_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_WORDS", 50)
+    # The hot source gives about half of its words, another one and a half times its words.
+    sizes = {"hot": 6000, "mid": 2000, "low": 1400, "rare": 600}
+    docs = spark.createDataFrame([(f"{s}{i}", "w w w w w", s) for s, n in sizes.items() for i in range(n)], "doc_id string, text string, source string")
+    rows = M.mix(docs, weights=(3.0, 2.0, 3.0, 1.0)).groupBy("shard", "source").count().toPandas()
+    table = rows.pivot_table(index="shard", columns="source", values="count", fill_value=0)
+    share = table.sum() / table.to_numpy().sum()
+    size = table.sum(axis=1)
+    assert len(table) >= 10 and size.max() < 1.5 * size.min()
+    sigma = np.sqrt(share * (1 - share) / M.SHARD_BLOCKS)
+    assert (abs(table.div(size, axis=0) - share) <= 4.5 * sigma).all(axis=None)
+
+
 def test_shard_quotas_split_exactly(spark):
     blocks = [("a", 70), ("b", 5), (None, 30)]
     rows = M.shard_quotas(spark, blocks, 7).collect()

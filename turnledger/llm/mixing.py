@@ -7,11 +7,14 @@ the others. A source gives whole passes over its blocks and then a last, partial
 the first blocks, up to its target, and from the block at the cut the documents that fill
 the rest best.
 
-Which output shard a block goes to is decided by a binary tree over the shards. At each
-node the blocks there (a count for each source) are split exactly between the two halves by
-a multivariate-hypergeometric draw, seeded by the node, so every shard works out its own
-path from the root: how many blocks of each source it gets, and from which place on. The
-shards' blocks are disjoint and together are all. Rows are shuffled inside a shard only.
+What is dealt to the output shards are the blocks really taken, once for each pass that takes
+them, numbered in each source by a random permutation that has nothing to do with the cut. A
+binary tree over the shards decides where they go. At each node the blocks there (a count for
+each source) are split exactly between the two halves by a multivariate-hypergeometric draw,
+seeded by the node, so every shard works out its own path from the root: how many blocks of
+each source it gets, and from which number on. The shards' blocks are disjoint and together are
+all that is taken, so shards are of even size and each holds the sources by their targets. Rows
+are shuffled inside a shard only.
 
 Defined results: a null or empty text has 0 words and is never needed; the null source is
 a source of its own, last in order. Rows that share an id are separate rows in the same
@@ -21,6 +24,8 @@ effect. An empty table gives no rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,13 +77,31 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_size": word_count(F.col("text")), "_h": F.xxhash64("text")})
 
 
-def draw(rows: DataFrame, narrow: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int = SEED) -> DataFrame:
-    """Adds _source_size, _target, _block, _blocks and _copies (how often a row is taken) to rows.
+@dataclass
+class Decisions:
+    """What is taken of each source: small tables, and the blocks taken as (source, copy, block)."""
 
-    narrow has (doc_id, source, _size, _h) of all rows; what the decisions need of the whole
-    table is taken from it. rows has these columns too, and any others.
-    """
-    columns = rows.columns
+    seed: int
+    per_source: DataFrame
+    cuts: DataFrame
+    whole: DataFrame
+    filled: DataFrame
+    units: list[tuple[str | None, int, int]]
+
+
+def _in_blocks(df: DataFrame, per_source: DataFrame, seed: int) -> DataFrame:
+    mixed = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return df.join(F.broadcast(per_source), _same("source", "_s")).drop("_s").withColumn("_block", F.pmod(mixed, F.col("_blocks")))
+
+
+def _with_cuts(df: DataFrame, per_source: DataFrame, cuts: DataFrame, whole: DataFrame, seed: int) -> DataFrame:
+    df = _in_blocks(df, per_source, seed).join(F.broadcast(cuts), _same("source", "_s"), "left").drop("_s")
+    df = df.join(F.broadcast(whole), _same("source", "_w"), "left").drop("_w")
+    return df.withColumn("_extra", (F.col("_block") <= F.coalesce("_last", F.lit(-1))).cast("int"))
+
+
+def decide(narrow: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int = SEED) -> Decisions:
+    """Decides from (doc_id, source, _size, _h) of all rows."""
     by_source = narrow.groupBy(F.col("source").alias("_s")).agg(F.sum("_size").alias("size")).toPandas()  # one row per source
     plan = targets(by_source.rename(columns={"_s": "source"}), weights, most)
     total = float(plan["size"].sum())
@@ -88,17 +111,12 @@ def draw(rows: DataFrame, narrow: DataFrame, weights=WEIGHTS, most: int = MOST_P
     passes = np.where(positive, np.minimum(plan["target"] // plan["size"].where(positive, 1), most), 0)
     plan["passes"] = passes.astype(np.int64)
     plan["rest"] = np.where(positive & (passes < most), plan["target"] - passes * plan["size"], 0.0)
-    spark = rows.sparkSession
+    spark = narrow.sparkSession
     listed = [(None if pd.isna(s) else s, int(z), float(t), int(b), int(p), float(r)) for s, z, t, b, p, r in plan[["source", "size", "target", "blocks", "passes", "rest"]].itertuples(index=False)]
     per_source = spark.createDataFrame(listed, "_s string, _source_size long, _target double, _blocks long, _passes long, _rest double")
 
-    mixed = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-
-    def in_blocks(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(per_source), _same("source", "_s")).drop("_s").withColumn("_block", F.pmod(mixed, F.col("_blocks")))
-
     # At most MOST_BLOCKS rows and one per source: words before each block in its source.
-    totals = in_blocks(narrow).groupBy(F.col("source").alias("_s"), F.col("_block").alias("_b")).agg(F.sum("_size").alias("words"), F.max("_rest").alias("rest")).toPandas()
+    totals = _in_blocks(narrow, per_source, seed).groupBy(F.col("source").alias("_s"), F.col("_block").alias("_b")).agg(F.sum("_size").alias("words"), F.max("_rest").alias("rest")).toPandas()
     totals["key"] = totals["_s"].map(lambda s: (s is None or s != s, "" if s is None or s != s else s))
     totals = totals.sort_values(["key", "_b"])
     end = totals.groupby("key", sort=False)["words"].cumsum()
@@ -109,13 +127,17 @@ def draw(rows: DataFrame, narrow: DataFrame, weights=WEIGHTS, most: int = MOST_P
     ends = totals[totals["end"] <= totals["rest"]].groupby("key", sort=False)["_b"].max()
     whole = spark.createDataFrame([(None if k[0] else k[1], int(b)) for k, b in ends.items()], "_w string, _last long")
 
-    def with_cuts(df: DataFrame) -> DataFrame:
-        df = in_blocks(df).join(F.broadcast(cuts), _same("source", "_s"), "left").drop("_s")
-        df = df.join(F.broadcast(whole), _same("source", "_w"), "left").drop("_w")
-        return df.withColumn("_extra", (F.col("_block") <= F.coalesce("_last", F.lit(-1))).cast("int"))
+    # A block is taken once in each whole pass, and once more before or at the cut.
+    passes_of = {k: p for (k, *_), p in zip(listed, plan["passes"])}
+    cut_of, end_of = dict(zip(cut["key"], cut["_b"])), ends.to_dict()
+    units = []
+    for k, b in totals[["key", "_b"]].itertuples(index=False):
+        source = None if k[0] else k[1]
+        extra = b <= end_of.get(k, -1) or b == cut_of.get(k, -1)
+        units += [(source, copy, int(b)) for copy in range(1, int(passes_of[source]) + int(extra) + 1)]
 
     # In the one block at the cut: the documents that fill the rest best, larger ones first.
-    at_cut = with_cuts(narrow).filter("_block = _cut").select("source", "doc_id", F.col("_h").alias("h"), F.col("_size").alias("words"), F.col("_room").alias("room"))
+    at_cut = _with_cuts(narrow, per_source, cuts, whole, seed).filter("_block = _cut").select("source", "doc_id", F.col("_h").alias("h"), F.col("_size").alias("words"), F.col("_room").alias("room"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["words", "doc_id", "h"], ascending=[False, True, True], kind="stable")
@@ -131,11 +153,25 @@ def draw(rows: DataFrame, narrow: DataFrame, weights=WEIGHTS, most: int = MOST_P
     # Arrow keeps a null id apart only as a nullable integer; as text it is safe.
     filled = at_cut.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("source").applyInPandas(fill, "source string, doc_id string, h long, take long")
     filled = filled.select(F.col("source").alias("_fs"), F.col("doc_id").cast(kind).alias("_fd"), F.col("h").alias("_fh"), F.col("take").alias("_take"))
+    return Decisions(seed, per_source, cuts, whole, filled, units)
+
+
+def draw(rows: DataFrame, narrow: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int = SEED) -> DataFrame:
+    """Adds _source_size, _target, _block, _blocks and _copies (how often a row is taken) to rows.
+
+    narrow has (doc_id, source, _size, _h) of all rows; what the decisions need of the whole
+    table is taken from it. rows has these columns too, and any others.
+    """
+    return _drawn(rows, decide(narrow, weights, most, seed))
+
+
+def _drawn(rows: DataFrame, d: Decisions) -> DataFrame:
+    columns = rows.columns
     # One row for each distinct document at the cuts; of equal rows the first _take ones count.
-    all_ = with_cuts(rows)
+    all_ = _with_cuts(rows, d.per_source, d.cuts, d.whole, d.seed)
     nth = F.row_number().over(Window.partitionBy("source", "_block", "doc_id", "_h").orderBy(F.lit(1)))
     inside = all_.filter("_block = _cut").withColumn("_nth", nth)
-    inside = inside.join(filled, _same("source", "_fs") & _same("doc_id", "_fd") & _same("_h", "_fh"), "left")
+    inside = inside.join(d.filled, _same("source", "_fs") & _same("doc_id", "_fd") & _same("_h", "_fh"), "left")
     inside = inside.withColumn("_extra", (F.col("_nth") <= F.coalesce("_take", F.lit(0))).cast("int"))
     names = [*columns, "_source_size", "_target", "_block", "_blocks", "_passes", "_extra"]
     outside = all_.filter("_cut is null or _block <> _cut").select(*names)
@@ -167,19 +203,37 @@ def shard_quotas(spark: SparkSession, blocks: list[tuple[str | None, int]], shar
     return spark.range(shards).mapInPandas(quota, "shard long, source string, first long, n long")
 
 
+def dealt(spark: SparkSession, d: Decisions) -> DataFrame:
+    """(shard, _s, _c, _b): the shard of each block taken, by source and copy; at most about MOST_BLOCKS rows and a few per source."""
+    of_source: dict[str | None, list[tuple[int, int]]] = {}
+    for source, copy, block in d.units:
+        of_source.setdefault(source, []).append((copy, block))
+    numbered = []
+    for i, (source, taken) in enumerate(of_source.items()):
+        order = np.random.default_rng([d.seed, i]).permutation(len(taken)).tolist()
+        numbered += [(source, number, *unit) for number, unit in zip(order, taken)]
+    blocks = [(source, len(taken)) for source, taken in of_source.items()]
+    quotas = shard_quotas(spark, blocks, shard_count(d), d.seed)
+    quotas = quotas.select("shard", F.col("source").alias("_q"), F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("_at"))
+    units = spark.createDataFrame(numbered, "_s string, _number long, _c int, _b long")
+    return quotas.join(F.broadcast(units), _same("_q", "_s") & (F.col("_at") == F.col("_number"))).select("shard", "_s", "_c", "_b")
+
+
+def shard_count(d: Decisions) -> int:
+    return max(1, -(-len(d.units) // SHARD_BLOCKS))
+
+
+def _mixed(docs: DataFrame, d: Decisions) -> DataFrame:
+    columns = docs.columns
+    copies = _drawn(sized(docs), d).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    unit = _same("source", "_s") & (F.col("_copy") == F.col("_c")) & (F.col("_block") == F.col("_b"))
+    placed = copies.join(F.broadcast(dealt(docs.sparkSession, d)), unit)
+    return placed.repartition(shard_count(d), "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(d.seed), "doc_id", "_copy")).select(*columns, "shard")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int = SEED) -> DataFrame:
     """The mix: every row as often as it is taken, with its output shard, shuffled inside the shard."""
-    columns = docs.columns
-    narrow = durable(sized(docs).select("doc_id", "source", "_size", "_h"))
-    drawn = draw(sized(docs), narrow, weights, most, seed)
-    per_source = draw(narrow, narrow, weights, most, seed).groupBy(F.col("source").alias("s")).agg(F.max("_blocks").alias("n")).orderBy("s").toPandas()  # one row per source
-    blocks = [(None if pd.isna(s) else s, int(n)) for s, n in per_source.itertuples(index=False)]
-    shards = max(1, -(-sum(n for _, n in blocks) // SHARD_BLOCKS))
-    quotas = shard_quotas(docs.sparkSession, blocks, shards, seed)
-    of_block = quotas.select("shard", F.col("source").alias("_s"), F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("_b"))
-    placed = drawn.filter("_copies > 0").join(F.broadcast(of_block), _same("source", "_s") & (F.col("_block") == F.col("_b")), "left")
-    copies = placed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return copies.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "_copy")).select(*columns, "shard")
+    return _mixed(docs, decide(durable(sized(docs).select("doc_id", "source", "_size", "_h")), weights, most, seed))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
