@@ -76,6 +76,20 @@ def test_every_shard_holds_the_sources_by_their_targets(spark, monkeypatch):
     assert (abs(table.div(size, axis=0) - share) <= 4.5 * sigma).all(axis=None)
 
 
+def test_mixing_counts_the_mix(spark, awkward, nothing, monkeypatch):
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    narrow = M.sized(awkward).select("doc_id", "source", "_size", "_h")
+    drawn = M.draw(narrow, narrow).select("doc_id", "_size", "_source_size", "_target", F.col("_size") * F.col("_copies"))
+    got = M.taken(awkward)
+    assert got.columns == columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, drawn.collect())))
+    assert M.taken(nothing).count() == 0
+    sf = "/root/testdata/sf0.001"
+    by = M.op5_mixing(spark, sf).agg(F.sum("taken")).first()[0]
+    real = M.shard_quotas
+    monkeypatch.setattr(M, "shard_quotas", lambda *a: real(*a).filter("shard > 0"))  # a fault of the tree shows
+    assert (M.op5_mixing(spark, sf).agg(F.sum("taken")).first()[0] or 0) < by
+
+
 def test_shard_quotas_split_exactly(spark):
     blocks = [("a", 70), ("b", 5), (None, 30)]
     rows = M.shard_quotas(spark, blocks, 7).collect()

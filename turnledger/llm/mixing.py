@@ -236,15 +236,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int = S
     return _mixed(docs, decide(durable(sized(docs).select("doc_id", "source", "_size", "_h")), weights, most, seed))
 
 
+def taken(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words in the mix) of every row, counted in the mix as it was written."""
+    narrow = durable(sized(docs).select("doc_id", "source", "_size", "_h"))
+    d = decide(narrow, weights, most, seed)
+    written = durable(_mixed(docs.select("doc_id", "source", "text"), d))
+    key = ["doc_id", "source", "_h"]
+    found = written.select("doc_id", "source", F.xxhash64("text").alias("_h")).groupBy(*(F.col(c).alias(f"m{c}") for c in key)).agg(F.count("*").alias("_found"))
+    rows = narrow.groupBy(*key).agg(F.count("*").alias("_rows"), F.max("_size").alias("size"))
+    same = _same("doc_id", "mdoc_id") & _same("source", "msource") & _same("_h", "m_h")
+    rows = rows.join(found, same, "left").join(F.broadcast(d.per_source), _same("source", "_s"))
+    # Equal rows share what was found of them as draw() deals it: alike, the first ones once more.
+    rows = rows.withColumn("_found", F.coalesce("_found", F.lit(0))).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
+    copies = F.floor(F.col("_found") / F.col("_rows")) + (F.col("_nth") <= F.col("_found") % F.col("_rows")).cast("long")
+    return rows.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * copies).alias("taken"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    narrow = durable(sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "_size", "_h"))
-    return draw(narrow, narrow).select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
-    )
+    return taken(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
