@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from turnledger.llm import importance as I
@@ -119,6 +120,17 @@ def test_grammar():
     assert n([X.NEGATION, *[X.OTHER] * 4, X.INSULT]) == plain  # too far away to govern
 
 
+def test_only_matched_clauses_weigh_in_full():
+    n = lambda *symbols: X.clause_weight(symbols, [1.0 if s in (X.INSULT, X.THREAT) else 0.0 for s in symbols])
+    assert n(X.THREAT, X.OTHER, X.OTHER) == 0 < n(X.THREAT, X.TARGET) == n(X.TARGET, X.OTHER, X.THREAT)
+    assert n(X.INSULT, X.OTHER, X.TARGET) == n(X.TARGET, X.INSULT) == 4 * X.TARGETED * n(X.INSULT)
+    assert n(X.NEGATION, X.INSULT, X.TARGET) < n(X.INSULT, X.TARGET) and n(X.INSULT, X.TARGET, X.INSULT) == 2 * n(X.INSULT, X.TARGET)
+    model = X._model(X.word_hashes(["you", "kill"]), np.array([3.0, 3.0]))  # labels don't take a word's part in the grammar
+    texts = ["kill the process", "beat the eggs", "take out the trash", "idiot, that is you", "you idiot", "I will kill you", "kill it. You there"]
+    raw = np.concatenate([model.raw(buf, off) for _, _, buf, off in X.T.slices(pa.array(texts))])
+    assert raw.tolist() == [0, 0, X.BARE * X.SEED_WEIGHT, 2.5, 2.5, 0.625, 0]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     both = X.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()

@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols: insult (with a weight), threat, target, negation, report, or other.
-Four small transducers read the symbols of a clause: one pairs insults and threats with a
-target in the clause, one weakens what a negation shortly before governs, one weakens what
-a verb of report introduces, and one sums the weights. Their composition, made once, is a
-single machine that runs over each clause holding an insult or a threat; a document's score
-is a logistic function of the summed clause weights.
+Three small transducers read the symbols of a clause: one pairs insults and threats with a
+target in the clause, one weakens what a negation shortly before governs, and one weakens what
+a verb of report introduces. Their composition, made once, is a single machine that runs over
+each clause holding an insult or a threat. The pairing holds back the weights of insults and
+threats until a target comes, before or after them; at the end of a clause without a target
+threats count nothing, and insults a small part (BARE) of their weight, for the labels call
+texts toxic whose insults have no target. A document's score is a logistic function of the
+summed clause weights.
 
 The insult lexicon is a fixed seed list and what labels teach: words and word beginnings
 (stems of 4 to 8 bytes) that occur in far more toxic than other documents, by a likelihood
@@ -46,6 +49,8 @@ SEED_WEIGHT = 2.0
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 NEGATION_REACH = 3  # words after a negation that it still governs
 NEGATED, REPORTED, TARGETED = 0.4, 0.6, 1.25
+#: What is left of an insult in a clause that names no target.
+BARE = 0.25
 
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[np.r_[65:91, 97:123, 128:256]] = False
@@ -60,13 +65,15 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return T.span_hash(T.prefix_sums(T.LOWER[buf]), edge[:-1], edge[1:])
 
 
-# --- transducers: (state, symbol) -> (state, factor on an insult or threat at this place) ---
+# --- transducers: (state, symbol) -> (state, factor on an insult or threat at this place, what happens to weights) ---
+
+PASS, HOLD, RELEASE = range(3)
 
 
 @dataclass(frozen=True)
 class Transducer:
     start: int
-    steps: dict  # (state, symbol) -> (state, factor)
+    steps: dict  # (state, symbol) -> (state, factor, PASS: counts now, HOLD: waits, RELEASE: all that waits counts)
 
 
 def negation() -> Transducer:
@@ -74,27 +81,32 @@ def negation() -> Transducer:
     steps = {}
     for left in range(NEGATION_REACH + 1):
         for symbol in range(6):
-            steps[left, symbol] = (NEGATION_REACH if symbol == NEGATION else max(0, left - 1), NEGATED if left else 1.0)
+            steps[left, symbol] = (NEGATION_REACH if symbol == NEGATION else max(0, left - 1), NEGATED if left else 1.0, PASS)
     return Transducer(0, steps)
 
 
 def reported_speech() -> Transducer:
     """State: 1 after a verb of report, to the clause's end."""
-    return Transducer(0, {(s, y): (1 if s or y == REPORT else 0, REPORTED if s else 1.0) for s in (0, 1) for y in range(6)})
-
-
-def targeting() -> Transducer:
-    """State: 1 once a target has been named in the clause."""
-    return Transducer(0, {(s, y): (1 if s or y == TARGET else 0, TARGETED if s else 1.0) for s in (0, 1) for y in range(6)})
+    return Transducer(0, {(s, y): (1 if s or y == REPORT else 0, REPORTED if s else 1.0, PASS) for s in (0, 1) for y in range(6)})
 
 
 def abuse() -> Transducer:
-    """Lets insults and threats through; a threat counts only after a target or with one to follow at once."""
-    return Transducer(0, {(0, y): (0, 1.0 if y in (INSULT, THREAT) else 0.0) for y in range(6)})
+    """Pairs insults and threats with a target. States: no target yet, one or more wait for a target, target named."""
+    nothing, waiting, named = range(3)
+    steps = {}
+    for state in (nothing, waiting, named):
+        for symbol in range(6):
+            if symbol in (INSULT, THREAT):
+                steps[state, symbol] = (named, TARGETED, PASS) if state == named else (waiting, TARGETED, HOLD)
+            elif symbol == TARGET:
+                steps[state, symbol] = (named, 0.0, RELEASE if state == waiting else PASS)
+            else:
+                steps[state, symbol] = (state, 0.0, PASS)
+    return Transducer(nothing, steps)
 
 
 def compose(*parts: Transducer) -> Transducer:
-    """One machine that runs all parts at once; its factor is the product of theirs. Only states that can be reached."""
+    """One machine that runs all parts at once: the product of their factors, the strongest of their acts. Only states that can be reached."""
     number = {tuple(p.start for p in parts): 0}
     queue, steps = list(number), {}
     for state in queue:
@@ -104,20 +116,29 @@ def compose(*parts: Transducer) -> Transducer:
             if after not in number:
                 number[after] = len(number)
                 queue.append(after)
-            steps[number[state], symbol] = (number[after], float(np.prod([t[1] for t in to])))
+            steps[number[state], symbol] = (number[after], float(np.prod([t[1] for t in to])), max(t[2] for t in to))
     return Transducer(0, steps)
 
 
-GRAMMAR = compose(abuse(), negation(), reported_speech(), targeting())
+GRAMMAR = compose(abuse(), negation(), reported_speech())
 
 
 def clause_weight(symbols, weights, grammar: Transducer = GRAMMAR) -> float:
     """Weight of one clause: symbols and, for insults and threats, their weights."""
-    state, total = grammar.start, 0.0
+    state, total, insults, threats = grammar.start, 0.0, 0.0, 0.0
     for symbol, weight in zip(symbols, weights):
-        state, factor = grammar.steps[state, symbol]
+        state, factor, act = grammar.steps[state, symbol]
+        if act == HOLD:
+            if symbol == INSULT:
+                insults += factor * weight
+            else:
+                threats += factor * weight
+            continue
+        if act == RELEASE:
+            total += insults + threats
+            insults = threats = 0.0
         total += factor * weight
-    return total
+    return total + insults * BARE / TARGETED  # what waits for a target in vain
 
 
 # --- words of a slice ---
@@ -181,7 +202,8 @@ class Model:
         symbol, weight = np.zeros(len(distinct), np.int8), np.zeros(len(distinct))
         for f in (distinct, *(stems[:, k] for k in range(len(STEMS)))):
             at = np.minimum(np.searchsorted(self.entries, f), len(self.entries) - 1)
-            hit = (self.entries[at] == f) & (f != 0) & (self.weight[at] >= weight) & ((symbol == OTHER) | (self.weight[at] > weight))
+            # A word that the grammar itself knows keeps its part in it, whatever its stems mean.
+            hit = (self.entries[at] == f) & (f != 0) & (symbol <= INSULT) & (self.weight[at] >= weight) & ((symbol == OTHER) | (self.weight[at] > weight))
             symbol[hit], weight[hit] = self.symbol[at[hit]], self.weight[at[hit]]
         word_symbol = symbol[inverse]
         ends = np.cumsum(_CLAUSE_END[buf])
@@ -205,14 +227,15 @@ class Model:
 
 
 def _model(features: np.ndarray, weights: np.ndarray) -> Model:
-    hashes, symbols, weight = [features], [np.full(len(features), INSULT)], [weights]
-    for words, kind, w in ((INSULTS, INSULT, SEED_WEIGHT), (THREATS, THREAT, SEED_WEIGHT / 4), (TARGETS, TARGET, 0), (NEGATIONS, NEGATION, 0), (REPORTS, REPORT, 0)):
-        h = word_hashes(words.split())
+    hashes, symbols, weight = [], [], []
+    seeds = ((THREATS, THREAT, SEED_WEIGHT / 4), (TARGETS, TARGET, 0), (NEGATIONS, NEGATION, 0), (REPORTS, REPORT, 0), (None, INSULT, None), (INSULTS, INSULT, SEED_WEIGHT))
+    for words, kind, w in seeds:
+        h = features if words is None else word_hashes(words.split())
         hashes.append(h)
         symbols.append(np.full(len(h), kind))
-        weight.append(np.full(len(h), float(w)))
+        weight.append(weights if words is None else np.full(len(h), float(w)))
     h, s, w = np.concatenate(hashes), np.concatenate(symbols), np.concatenate(weight)
-    # Of entries for the same word the first, a learned one, stays.
+    # Of entries for the same word the first stays: one the grammar knows, then a learned one.
     h, first = np.unique(h, return_index=True)
     return Model(h, s[first].astype(np.int8), w[first])
 
