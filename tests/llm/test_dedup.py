@@ -136,6 +136,14 @@ def test_near_dedup_awkward_rows(awkward, nothing):
     assert kept.columns == awkward.columns and kept.filter("doc_id = 2").count() == 0
 
 
+def test_size_bound_is_of_each_text_of_an_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [(1, " ".join(words)), (1, " ".join(f"v{i}" for i in range(1000))), (2, " ".join([*words[:98], "x", "y"]))]
+    open_ = spark.createDataFrame([(1, 1, 999), (2, 2, 99)], "node long, comp long, n long")
+    pairs = N._prefix_pairs(open_, spark.createDataFrame(texts, "node long, text string"), 2, 80)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
+
+
 def test_estimate_is_corrected_for_chance():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 256, (200, 140), dtype=np.uint8)

@@ -204,24 +204,26 @@ def _shingle_counts(texts: DataFrame, shingle_words: int) -> np.ndarray:
 
 
 def _prefix_pairs(open_: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (node, comp, n) in different components whose prefixes meet and whose sizes fit."""
+    """Pairs (a, b) of rows (node, comp) in different components whose prefixes meet and whose sizes fit."""
     texts = durable(texts.join(open_.select("node"), "node", "left_semi"))
     counts = _shingle_counts(texts, shingle_words)
 
     def prefixes(batches):
         for batch in batches:
             for first, last, buf, off in T.slices(batch.column("text")):
-                out, number = [], []
+                out, number, sizes = [], [], []
                 for s in shingle_sets(buf, off, shingle_words):
                     keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     by = np.lexsort((s, counts[(s % np.uint64(COUNTERS)).astype(np.int64)]))
                     out.append(s[by[:keep]].view(np.int64))
                     number.append(keep)
+                    sizes.append(len(s))
                 node = batch.column("node")[first:last].take(pa.array(np.repeat(np.arange(last - first), number)))
                 place = np.concatenate([np.arange(k) for k in number])
-                yield pa.RecordBatch.from_arrays([node, pa.array(np.concatenate(out)), pa.array(place.astype(np.int32))], ["node", "shingle", "place"])
+                yield pa.RecordBatch.from_arrays([node, pa.array(np.concatenate(out)), pa.array(place.astype(np.int32)), pa.array(np.repeat(np.array(sizes, np.int64), number))], ["node", "shingle", "place", "n"])
 
-    rows = texts.mapInArrow(prefixes, "node long, shingle long, place int").join(open_, "node")
+    # n is the size of the text's own set: texts that share an id have each their own.
+    rows = texts.mapInArrow(prefixes, "node long, shingle long, place int, n long").join(open_.select("node", "comp"), "node")
     rare = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle")
     rows = durable(rows.join(rare, "shingle", "left_semi"))
     def side(c: str) -> DataFrame:
@@ -264,8 +266,7 @@ def link_documents(docs: DataFrame, shingle_words: int = 5, percent: int = 80, b
     label = components(edges)
     labelled = members.select("key", "node").join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi and size > 2").select("key")
-    open_nodes = labelled.join(open_keys, "key", "left_semi").select("node", "comp").distinct()
-    open_ = durable(open_nodes.join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node"))
+    open_ = durable(labelled.join(open_keys, "key", "left_semi").select("node", "comp").distinct())
     rest = durable(_prefix_pairs(open_, texts, shingle_words, percent).join(first, ["a", "b"], "left_anti"))
     more = verified(rest)
     if more.limit(1).count():
