@@ -48,3 +48,12 @@ def test_awkward_rows(awkward, nothing):
     assert {r.lang_pred for r in L.identify(awkward, None).collect()} == {"und"}
     kept = L.stage(awkward.sparkSession, awkward, "")
     assert kept.columns == awkward.columns and kept.filter("text is null").count() == 0
+
+
+def test_stage_keeps_what_the_query_gives_a_language(awkward):
+    more = [(30 + i, t, None, "a", len(t), True, "n", 0, 0.5) for i, t in enumerate(["😀 🎉", "— – …", "“ ” « »", "€ ° § ±", "😀", "naïve"])]
+    docs = awkward.unionByName(awkward.sparkSession.createDataFrame(more, awkward.schema))
+    found = L.identify(docs, L.fit(docs)).filter("lang_pred <> 'und' and not ambiguous")
+    kept = L.stage(docs.sparkSession, docs, "")
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in found.collect())
+    assert kept.filter("doc_id between 30 and 34").count() == 0

@@ -115,6 +115,18 @@ class Model:
         count = T.sum_by_doc(grams[inverse], doc, docs)
         return total / np.maximum(count, 1)[:, None], count
 
+    def predict(self, buf: np.ndarray, off: np.ndarray):
+        """(language, score, ambiguous) of each document; und, 0 and not ambiguous without a letter."""
+        margins, count = self.margins(buf, off)
+        best, p, lead = self.decode(margins)
+        ascii_letter = (T.LOWER[buf] >= 97) & (T.LOWER[buf] <= 122)
+        seen = np.r_[0, np.cumsum(ascii_letter)]
+        some = seen[off[1:]] > seen[off[:-1]]
+        for i in np.flatnonzero(~some & (count > 0)):
+            some[i] = any(c.isalpha() for c in buf[off[i] : off[i + 1]].tobytes().decode("utf-8", "ignore"))
+        names = np.array(self.languages, object)[best]
+        return np.where(some, names, "und"), np.where(some, p, 0.0), some & (lead < self.min_lead)
+
 
 def count_features(labelled: DataFrame) -> DataFrame:
     """(lang, bucket, n) over the rows (text, lang)."""
@@ -181,17 +193,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             for first, last, buf, off in T.slices(batch.column("text")):
                 if model is None:
                     break
-                margins, count = model.margins(buf, off)
-                best, p, lead = model.decode(margins)
-                ascii_letter = (T.LOWER[buf] >= 97) & (T.LOWER[buf] <= 122)
-                seen = np.r_[0, np.cumsum(ascii_letter)]
-                some = seen[off[1:]] > seen[off[:-1]]
-                for i in np.flatnonzero(~some & (count > 0)):
-                    some[i] = any(c.isalpha() for c in buf[off[i] : off[i + 1]].tobytes().decode("utf-8", "ignore"))
-                names = np.array(model.languages, object)[best]
-                lang[first:last] = np.where(some, names, "und")
-                score[first:last] = np.where(some, p, 0.0)
-                unsure[first:last] = some & (lead < model.min_lead)
+                lang[first:last], score[first:last], unsure[first:last] = model.predict(buf, off)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "ambiguous": pa.array(unsure)})
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -218,9 +220,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for first, last, buf, off in T.slices(texts):
             if model is None:
                 break
-            margins, count = model.margins(buf, off)
-            _, _, lead = model.decode(margins)
-            ok[first:last] = (count > 0) & (lead >= model.min_lead)
+            lang, _, unsure = model.predict(buf, off)
+            ok[first:last] = (lang != "und") & ~unsure
         return pa.array(ok)
 
     return docs.filter(clear("text"))
