@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +31,14 @@ def held_out(doc_id: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (local tests) a temporary folder is set.
+    Only where that setting is absent and everything runs in one process (local tests) a
+    temporary folder is set; on a cluster its absence is an error.
     """
     global _own
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = _own = _own or tempfile.mkdtemp(prefix="spark-shared-")
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -44,9 +50,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Sets how many rows Arrow batches hold from here on, so that whole texts take little memory at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, a function for mapInArrow or mapInPandas, that at its task's end gives memory back to the system.
+
+    Python workers live on between tasks, and Arrow and the C library keep what they once had.
+    """
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
+def small(df: DataFrame, rows: int, most: int = 1 << 18) -> DataFrame:
+    """df to be broadcast if its known number of rows is no larger than most; else joined as any table."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def text_bytes(docs: DataFrame) -> int:

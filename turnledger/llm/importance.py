@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import durable, held_out, table
+from .common import durable, held_out, released, table
 
 BUCKETS = 10_000
 SAMPLE_ROWS = 20_000
@@ -69,7 +69,7 @@ def count_ngrams(flagged: DataFrame) -> DataFrame:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at.astype(np.int32)), "raw": pa.array(raw[at]), "target": pa.array(target[at])})
 
-    rows = flagged.select("text", "is_target").mapInArrow(count, "bucket int, raw long, target long")
+    rows = flagged.select("text", "is_target").mapInArrow(released(count), "bucket int, raw long, target long")
     return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -128,7 +128,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, sam
                 out.append(np.bincount(doc, weights=ratio[bucket], minlength=last - first))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "log_ratio": pa.array(np.concatenate(out))})
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, log_ratio double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(score), "doc_id long, log_ratio double")
     # A uniform number in (0, 1) from the id's hash, then Gumbel noise.
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rows = durable(scored.withColumn("key", F.col("log_ratio") - F.log(-F.log(uniform))))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import product
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import held_out, small_batches, table
+from .common import held_out, released, table
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 20_000
@@ -147,7 +148,7 @@ def count_features(labelled: DataFrame) -> DataFrame:
                 at = np.flatnonzero(tally[k])
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(tally[k][at])})
 
-    rows = labelled.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
+    rows = labelled.select("text", "lang").mapInArrow(released(count), "lang string, bucket int, n long")
     return rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -197,7 +198,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "ambiguous": pa.array(unsure)})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", "text").mapInArrow(released(predict), f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,18 +212,21 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Fitted on the stage's own input. Rows keep all their columns.
     """
-    small_batches(spark)
     model = fit(docs)
 
+    def judged(batches):
+        for texts in batches:
+            ok = np.zeros(len(texts), bool)
+            for first, last, buf, off in T.slices(texts):
+                if model is None:
+                    break
+                lang, _, unsure = model.predict(buf, off)
+                ok[first:last] = (lang != "und") & ~unsure
+            yield pa.array(ok)
+
     @F.arrow_udf("boolean")
-    def clear(texts: pa.Array) -> pa.Array:
-        ok = np.zeros(len(texts), bool)
-        for first, last, buf, off in T.slices(texts):
-            if model is None:
-                break
-            lang, _, unsure = model.predict(buf, off)
-            ok[first:last] = (lang != "und") & ~unsure
-        return pa.array(ok)
+    def clear(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(judged)(batches)
 
     return docs.filter(clear("text"))
 

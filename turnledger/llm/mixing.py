@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, table
+from .common import durable, released, table
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_PASSES = 3
@@ -200,7 +200,7 @@ def shard_quotas(spark: SparkSession, blocks: list[tuple[str | None, int]], shar
                 rows += [(int(shard), names[i], int(first[i]), int(have[i])) for i in np.flatnonzero(have)]
             yield pd.DataFrame(rows, columns=["shard", "source", "first", "n"]).astype({"shard": "int64", "first": "int64", "n": "int64"})
 
-    return spark.range(shards).mapInPandas(quota, "shard long, source string, first long, n long")
+    return spark.range(shards).mapInPandas(released(quota), "shard long, source string, first long, n long")
 
 
 def dealt(spark: SparkSession, d: Decisions) -> DataFrame:
@@ -258,7 +258,6 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of all rows: a row is there as often as it was taken."""
-    small_batches(spark)
     return mix(docs).drop("shard")
 
 

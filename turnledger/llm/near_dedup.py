@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import durable, small_batches, table
+from .common import durable, released, table
 from .graph import components
 
 #: 80 bands of 7 minima: a pair at 0.8 shares no band with probability 6.6e-9.
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, shingle_words: int, bands: int = BANDS, rows: int
                     ["doc_id", "n_shingles", "set_key", "signature", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(sketch), "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>")
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_hashes: int) -> np.ndarray:
@@ -158,7 +158,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int, n_hashes: int)
         return nodes.select(F.col("node").alias(c), F.col("signature").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(released(judge), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -179,7 +179,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent:
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(released(compare), "a long, b long").distinct()
 
 
 def _shingle_counts(texts: DataFrame, shingle_words: int) -> np.ndarray:
@@ -194,7 +194,7 @@ def _shingle_counts(texts: DataFrame, shingle_words: int) -> np.ndarray:
         chunks = total.reshape(-1, COUNTER_CHUNK)
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.arange(len(chunks), dtype=np.int32)), "n": pa.array(list(chunks), pa.list_(pa.int64()))})
 
-    rows = texts.select("text").mapInArrow(count, "chunk int, n array<long>")
+    rows = texts.select("text").mapInArrow(released(count), "chunk int, n array<long>")
     sums = rows.groupBy("chunk").agg(F.collect_list("n").alias("all"))  # one list per task
     total = np.zeros(COUNTERS, np.int64)
     summed = sums.select("chunk", F.aggregate("all", F.array_repeat(F.lit(0).cast("long"), COUNTER_CHUNK), lambda x, y: F.zip_with(x, y, lambda i, j: i + j)).alias("n"))
@@ -223,7 +223,7 @@ def _prefix_pairs(open_: DataFrame, texts: DataFrame, shingle_words: int, percen
                 yield pa.RecordBatch.from_arrays([node, pa.array(np.concatenate(out)), pa.array(place.astype(np.int32)), pa.array(np.repeat(np.array(sizes, np.int64), number))], ["node", "shingle", "place", "n"])
 
     # n is the size of the text's own set: texts that share an id have each their own.
-    rows = texts.mapInArrow(prefixes, "node long, shingle long, place int, n long").join(open_.select("node", "comp"), "node")
+    rows = texts.mapInArrow(released(prefixes), "node long, shingle long, place int, n long").join(open_.select("node", "comp"), "node")
     rare = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle")
     rows = durable(rows.join(rare, "shingle", "left_semi"))
     def side(c: str) -> DataFrame:
@@ -291,7 +291,6 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest id, of each group of near duplicates (five-word shingles, 0.8)."""
-    small_batches(spark)
     gone = link_documents(docs).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

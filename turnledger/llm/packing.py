@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import durable, small_batches, table
+from .common import durable, parts, released, table
 from .tokens import SLICE, default_tokenizer, encoder
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of a group on average; each group is packed by one task.
 GROUP_ROWS = 3000
+#: Pieces that a task packs, group after group.
+TASK_ROWS = 300_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -73,7 +75,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                 row += len(doc)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(cut, f"{_PIECES}, deal long")
+    return docs.mapInArrow(released(cut), f"{_PIECES}, deal long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -166,8 +168,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     """Adds sequence_id and offset to rows with the columns length and deal (a number of its own for each row)."""
 
     def grouped(df: DataFrame) -> DataFrame:
-        groups = max(1, -(-df.count() // group_rows))
-        return df.withColumn("grp", F.pmod(F.xxhash64("deal"), F.lit(groups)))
+        rows = df.count()
+        groups = max(1, -(-rows // group_rows))
+        # Set by hand, for merging these small partitions would pack all groups in one task.
+        tasks = min(groups, parts(df.sparkSession, rows, TASK_ROWS))
+        return df.withColumn("grp", F.pmod(F.xxhash64("deal"), F.lit(groups))).repartition(tasks, "grp")
 
     def packer(turn: int):
         def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,7 +203,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents left by the stages before; repeats are packed as documents of their own."""
-    small_batches(spark)
     return pack_documents(docs)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
 from . import text as T
-from .common import parts, small_batches, table, text_bytes
+from .common import parts, released, table, text_bytes
 
 LENGTH = 100
 GRAM = 32
@@ -147,8 +147,8 @@ def _exchange_grams(base: DataFrame, length: int, buckets: int) -> DataFrame:
         if k:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (k, sub, code)], ["k", "sub", "code"])
 
-    grams = base.mapInArrow(find, _GRAMS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return grams.mapInArrow(_by_bucket(repeated), "k long, sub int, code long")
+    grams = base.mapInArrow(released(find), _GRAMS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return grams.mapInArrow(released(_by_bucket(repeated)), "k long, sub int, code long")
 
 
 def _runs(b: np.ndarray):
@@ -347,8 +347,8 @@ def _exchange_suffixes(base: DataFrame, candidates: DataFrame, length: int, buck
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int64)), pa.array(out[3].astype(np.int64))], ["k", "sub", "first", "last"])
 
     found = candidates.groupBy("k").agg(F.collect_list(F.struct("sub", "code")).alias("found"))
-    runs = base.join(found, "k").select("k", "sub", "text", "found").mapInArrow(sort, _RUNS)
-    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(merge), "k long, sub int, first long, last long")
+    runs = base.join(found, "k").select("k", "sub", "text", "found").mapInArrow(released(sort), _RUNS)
+    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_by_bucket(merge)), "k long, sub int, first long, last long")
 
 
 #: Entries of merged suffixes that are resolved at once (whole groups of one gram each).
@@ -472,7 +472,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
                 )
 
-    done = repeated_ranges(docs, length).mapInArrow(finish, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    done = repeated_ranges(docs, length).mapInArrow(released(finish), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return done.select(F.nullif("k", F.lit(_LEAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
@@ -494,12 +494,11 @@ def cut_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([row[i : i + len(part)], texts, pa.array([n for _, n in part], pa.int64())], ["row", "text", "n_removed"])
 
     schema = D.StructType([D.StructField("row", found.schema["row"].dataType), D.StructField("text", D.StringType()), D.StructField("n_removed", D.LongType())])
-    return found.mapInArrow(finish, schema)
+    return found.mapInArrow(released(finish), schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated strings out of each row's own text; n_chars follows, and a row whose cut left no word goes."""
-    small_batches(spark)
     cut = cut_rows(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     kinds = dict(docs.dtypes)
     own = {c: F.col("row")[c] for c in docs.columns if c != "text"} | {"text": F.col("text")}

@@ -33,17 +33,20 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int,
     """(first row, row after the last, bytes, offsets) of runs of rows; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.fill_null("").cast(pa.large_binary())
+    if texts.null_count:
+        texts = texts.fill_null("")
     if not len(texts):
         return
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    # Spark's strings have 32-bit offsets; they are read where they lie.
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    off = np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = int(np.searchsorted(off, off[first] + size, "right")) - 1
+        last = int(np.searchsorted(off, int(off[first]) + size, "right")) - 1
         last = min(max(last, first + 1), len(texts))
-        yield first, last, buf[off[first] : off[last]], off[first : last + 1] - off[first]
+        yield first, last, buf[off[first] : off[last]], off[first : last + 1].astype(np.int64) - off[first]
         first = last
 
 

@@ -6,7 +6,8 @@ readers take separately; a row index and a Bloom filter on doc_id let a search f
 documents skip stripes and row groups.
 
 Defined results: a null text is empty, so it has the end id alone. Null ids come first.
-Rows that share an id stay separate, in the order of their texts. Only doc_id and text are
+Rows that share an id stay separate, in the order of a hash of their texts, by which an id
+that very many rows share is spread over files. Only doc_id and text are
 read, so further columns have no effect. An empty table gives no rows.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import durable, parts, shared_dir, table, text_bytes
+from .common import durable, parts, released, shared_dir, table, text_bytes
 from .tokens import SLICE, default_tokenizer, encoder
 
 END_ID = 2
@@ -48,9 +49,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = parts(docs.sparkSession, text_bytes(docs), part_bytes)
-    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))
     (
-        ordered.mapInArrow(encode, SCHEMA)
+        docs.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .mapInArrow(released(encode), SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.stripe.size", 16 << 20)
         .option("orc.row.index.stride", 1000)
@@ -77,8 +80,10 @@ def token_offsets(files: DataFrame) -> DataFrame:
             crc = [zlib.crc32(values[a:b]) for a, b in zip(edge[:-1], edge[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("row"), batch.column("doc_id"), pa.array(np.diff(edge).astype(np.int64)), pa.array(crc, pa.int64())], ["file", "row", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = files.select(F.col("_metadata.file_name").alias("file"), "row", "doc_id", "ids")
-    rows = durable(rows.mapInArrow(digest, "file string, row long, doc_id long, n_tokens long, ids_crc32 long"))
+    # Files are numbered by their range; the number, not the name, is what orders them.
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    rows = files.select(number.alias("file"), "row", "doc_id", "ids")
+    rows = durable(rows.mapInArrow(released(digest), "file long, row long, doc_id long, n_tokens long, ids_crc32 long"))
     # One row for each file: where its first id stands among all.
     files_ = rows.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
     before = files_.select("file", F.coalesce(F.sum("in_file").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, released, table
 
 SCALE = 256
 PIVOT_SAMPLE = 4096
@@ -91,7 +91,7 @@ def top_k(vectors: DataFrame, k: int, is_query, id_column: str = "vec_id", vecto
                 near = d.argmin(1)
                 yield pd.DataFrame({"id": pdf["id"], "pivot": near.astype(np.int32), "dist": d[np.arange(len(m)), near], "v": [r.tobytes() for r in m]})
 
-    keyed = durable(base.mapInPandas(key, "id long, pivot int, dist double, v binary"))
+    keyed = durable(base.mapInPandas(released(key), "id long, pivot int, dist double, v binary"))
     reach = keyed.groupBy("pivot").agg(F.max("dist").alias("far"))
     # One row for each annulus: at most MAX_PIVOTS * RINGS.
     placed = keyed.join(F.broadcast(reach), "pivot").withColumn("ring", F.least(F.floor(F.col("dist") * RINGS / (F.col("far") + 1e-9)), F.lit(RINGS - 1)).cast("int")).drop("far")
@@ -141,7 +141,7 @@ def top_k(vectors: DataFrame, k: int, is_query, id_column: str = "vec_id", vecto
 
         asked = packed(asked.select("id", "pivot", "ring", "v", "least"), F.pmod(F.xxhash64("id"), F.lit(groups)))
         asked = asked.withColumnsRenamed({"ids": "q_ids", "vs": "q_vs", "least": "q_least"})
-        return asked.join(blocks.drop("least"), ["pivot", "ring"]).select("q_ids", "q_vs", "q_least", "ids", "vs").mapInPandas(score, "query_id long, vec_id long, score long")
+        return asked.join(blocks.drop("least"), ["pivot", "ring"]).select("q_ids", "q_vs", "q_least", "ids", "vs").mapInPandas(released(score), "query_id long, vec_id long, score long")
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -171,7 +171,7 @@ def top_k(vectors: DataFrame, k: int, is_query, id_column: str = "vec_id", vecto
                 r = order[q, at]
                 yield pd.DataFrame({"id": pdf["id"].to_numpy()[q], "pivot": ring_pivot[r], "ring": ring_ring[r], "v": pdf["v"].to_numpy()[q], "least": least[q]})
 
-        return state.mapInPandas(expand, "id long, pivot int, ring int, v binary, least double")
+        return state.mapInPandas(released(expand), "id long, pivot int, ring int, v binary, least double")
 
     found = durable(best(search(queries.withColumn("least", F.lit(float("-inf"))))))
     step = search(next_rings(found, FIRST_RINGS, 0))

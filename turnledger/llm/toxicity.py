@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import held_out, table
+from .common import held_out, released, table
 
 SAMPLE_ROWS = 12_000
 LEXICON_SIZE = 20_000
@@ -180,7 +180,7 @@ def count_features(labelled: DataFrame) -> DataFrame:
                 ok = features != 0
                 yield pa.RecordBatch.from_pydict({"feature": pa.array(features[ok].view(np.int64)), "n_toxic": pa.array(n1[ok].astype(np.int64)), "n_other": pa.array(n0[ok].astype(np.int64))})
 
-    rows = labelled.select("text", "toxic").mapInArrow(count, "feature long, n_toxic long, n_other long")
+    rows = labelled.select("text", "toxic").mapInArrow(released(count), "feature long, n_toxic long, n_other long")
     return rows.groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"))
 
 
@@ -269,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
             values = np.concatenate([model.raw(buf, off) for _, _, buf, off in T.slices(batch.column("text"))] or [np.zeros(0)])
             yield pa.RecordBatch.from_pydict({"raw": pa.array(values), "toxic": batch.column("toxic")})
 
-    pairs = labelled.select("text", "toxic").mapInArrow(raw, "raw double, toxic boolean").toPandas()  # at most the sample
+    pairs = labelled.select("text", "toxic").mapInArrow(released(raw), "raw double, toxic boolean").toPandas()  # at most the sample
     x = np.stack([np.log1p(pairs["raw"].to_numpy()), np.ones(len(pairs))], 1)
     y = pairs["toxic"].to_numpy(float)
     w = np.array([1.5, -2.5])
@@ -293,7 +293,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, score double, predicted int")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
