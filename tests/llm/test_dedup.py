@@ -38,15 +38,36 @@ def test_suffix_dedup_equals_brute_force(spark, seed):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == removed_by_force(texts, 100)
 
 
+def test_suffix_dedup_in_blocks_and_without_trust_in_hashes(spark, monkeypatch):
+    """A long document in several blocks, and hashes of gram and surroundings that collide all the time."""
+    rng = random.Random(9)
+    piece = ["".join(rng.choice("abc é") for _ in range(rng.randrange(90, 300))) for _ in range(6)]
+    texts = ["".join(rng.choice(piece) + rng.choice("xyz") for _ in range(40)), *("".join(rng.choice(piece) for _ in range(3)) for _ in range(12))]
+    monkeypatch.setattr(S, "BLOCK_BYTES", 700)
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    whole = list(zip(*S.anchors(buf, off, 100)))
+    starts = lambda found: sorted((a, s) for a, lo, hi in found for s in range(lo, hi + 1))
+    assert starts(whole) == starts(t for at, lo, hi, _ in S.blocked_anchors(buf, off, 100, 700) for t in zip(at, lo, hi))
+    rows = []
+    keys = [b"\0" * 8 + x for x in (b"s" * 40 + b"one" + b"e" * 80, b"s" * 40 + b"one" + b"e" * 80, b"s" * 40 + b"two" + b"e" * 80)]
+    lefts = [b"l" * 68, b"k" + b"l" * 67, b"l" * 68]
+    code = np.array([(100 << 16) | (0 << 8) | 68] * 3)
+    entry = (np.array([1, 2, 3]), np.zeros(3, np.int32), code, keys, lefts)
+    S._resolve([(0, i) for i in range(3)], S.shared_prefixes(keys).tolist(), [entry], 100, lambda *x: rows.extend(zip(*(c.tolist() for c in x))))
+    # The second shares all but the first byte before; the third only what ends before its own word.
+    assert sorted(rows) == [(2, 0, 33, 200), (3, 0, 32, 140)]
+
+
 def test_suffix_dedup_awkward_rows(awkward, nothing):
     rows = S.remove_repeats(awkward).collect()
     assert len(rows) == awkward.count()
-    # The row with a null id comes first, so of five equal texts all others go.
+    # The rows with null ids come first, so of five equal texts all others go.
     gone = sorted(str(r.doc_id) for r in rows if r.n_bytes and r.n_removed == r.n_bytes)
     assert {"1", "2"} <= set(gone) and gone.count("2") == 2 and "None" not in gone
     assert S.remove_repeats(nothing).count() == 0
-    out = S.stage(awkward.sparkSession, awkward.filter("doc_id <> 9"), "")
-    assert out.columns == awkward.columns
+    out = S.stage(awkward.sparkSession, awkward, "")
+    assert out.columns == awkward.columns and out.filter("doc_id = 9").count() == 2
 
 
 def test_suffix_dedup_stage_cuts_each_row_by_itself(awkward):

@@ -12,16 +12,20 @@ are sorted:
    prefix it shares with the one before, and the rest. Runs are exchanged by ranges of the
    gram's hash, which spreads them evenly; the order of suffixes is that of (hash, bytes).
 3. A loser tree merges the runs of a range. It keeps, for every entry, how much it shares with
-   the last output, so no byte that is known to be equal is compared again. Suffixes with
-   the same gram come out together; among them equal strings are told from each other, and all
-   but the first occurrence of each are removed.
-
-Grams and suffixes that repeat within one slice of documents are reduced to one before any
-exchange, so a string that a third of all documents hold arrives once per slice.
-
-Defined results: a null text is empty. A null doc_id comes before all others. Rows that share
-an id are in the order of a hash of their texts; of fully equal rows one is first. Only doc_id
-and text are read, so further columns have no effect. An empty table gives no rows.
+   the last output, so no byte that is known to be equal is compared again. What neighbours in
+   the merged order share says which strings are equal from the anchor on, and the same
+   lengths over the sorted bytes before the anchors say it for the other side; strings whose
+   both sides agree are equal, byte for byte, and all but the first occurrence are removed.
+
+Hashes only bring equal strings together; that they are equal is always told from their bytes.
+Suffixes that repeat within one slice of documents are reduced to one before any exchange, so
+a string that a third of all documents hold arrives once per slice. A long document is worked
+on in blocks that overlap by one string.
+
+Defined results: a null text is empty. A null doc_id comes before all others; rows without an
+id, or that share one, are in the order of a hash of their texts; of fully equal rows one is
+first. Only doc_id and text are read, so further columns have no effect. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -39,13 +43,17 @@ from .common import parts, released, table, text_bytes
 
 LENGTH = 100
 GRAM = 32
-#: Bytes of text whose anchors make one range of hashes, on average.
-RANGE_BYTES = 16 << 20
+#: Bytes of text whose anchors make one range of hashes, on average; a range is merged at once.
+RANGE_BYTES = 4 << 20
+#: Bytes of text whose ranges make one partition.
+PART_BYTES = 64 << 20
+#: Bytes of one document that are worked on at once.
+BLOCK_BYTES = 8 << 20
 #: Bytes of text whose anchors are found, or whose suffixes are sorted, at once (a run).
 RUN_BYTES = 1 << 20
 
-_LEAST = -(1 << 63)
-_PLACE_BITS = 27  # a slice, or one document, is shorter than 2^27 bytes
+_NO_ID = -(1 << 30)  # added to sub where there is no id
+_PLACE_BITS = 27  # a block is shorter than 2^27 bytes
 _U64 = np.uint64
 
 
@@ -54,8 +62,6 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int):
     n, width = len(buf), length - GRAM + 1
     if n < length:
         return (np.zeros(0, np.int64),) * 3
-    if n >> _PLACE_BITS:
-        raise ValueError("a document of 128 MiB or more")
     g = T.rolling_hash(T.prefix_sums(buf), GRAM)
     m = (g >> _U64(_PLACE_BITS) << _U64(_PLACE_BITS)) | np.arange(len(g), dtype=np.uint64)
     reach = 1
@@ -75,6 +81,16 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int):
     return at[first], start[first], start[last]
 
 
+def blocked_anchors(buf: np.ndarray, off: np.ndarray, length: int, block: int):
+    """What anchors() gives, and the anchors' gram keys, block by block: strings that start in one block after the other."""
+    for x in range(0, max(1, len(buf)), block):
+        y = min(len(buf), x + block + length - 1)
+        edge = np.clip(off, x, y) - x
+        at, lo, hi = anchors(buf[x:y], np.unique(np.r_[0, edge, y - x]), length)
+        if len(at):
+            yield at + x, lo + x, hi + x, gram_keys(T.prefix_sums(buf[x:y]), at)
+
+
 def gram_keys(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The grams' hashes mixed once more: anchors have small hashes, ranges need even ones."""
     return T.mix(T.span_hash(sums, at, at + GRAM) + _U64(0x9E3779B97F4A7C15))
@@ -92,7 +108,7 @@ def _emit(schema: list[str], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(name, pa.binary())) for name, c in zip(schema, zip(*rows))], schema)
 
 
-def _exchange_grams(base: DataFrame, length: int, buckets: int) -> DataFrame:
+def _exchange_grams(base: DataFrame, length: int, buckets: int, n_bytes: int) -> DataFrame:
     """(k, sub, code) of the anchors whose gram occurs elsewhere too; code holds place and reach."""
     names = ["bucket", "kind", "k", "sub", "code", "h"]
 
@@ -100,10 +116,10 @@ def _exchange_grams(base: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in batches:
             ks, subs = batch.column("k").to_numpy(), batch.column("sub").to_numpy()
             for first, last, buf, off in T.slices(batch.column("text"), RUN_BYTES):
-                at, lo, hi = anchors(buf, off, length)
-                if not len(at):
+                found = list(blocked_anchors(buf, off, length, BLOCK_BYTES))
+                if not found:
                     continue
-                h = gram_keys(T.prefix_sums(buf), at)
+                at, lo, hi, h = (np.concatenate(c) for c in zip(*found))
                 doc = np.searchsorted(off, at, "right") - 1
                 code = ((at - off[doc]) << 16) | ((at - hi) << 8) | (at - lo)
                 k, sub = ks[first:last][doc], subs[first:last][doc].astype(np.int32)
@@ -147,7 +163,7 @@ def _exchange_grams(base: DataFrame, length: int, buckets: int) -> DataFrame:
         if k:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (k, sub, code)], ["k", "sub", "code"])
 
-    grams = base.mapInArrow(released(find), _GRAMS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    grams = _dealt(base.mapInArrow(released(find), _GRAMS), buckets, n_bytes)
     return grams.mapInArrow(released(_by_bucket(repeated)), "k long, sub int, code long")
 
 
@@ -163,18 +179,26 @@ def _by_bucket(work):
     def run(batches):
         bucket, group = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != bucket and group:
+            buckets = batch.column("bucket").to_numpy()
+            for x, y in _runs(buckets):
+                if x == y:
+                    continue
+                if buckets[x] != bucket and group:
                     yield from work(group)
                     group = []
-                bucket = row["bucket"]
-                group.append(row)
+                bucket = buckets[x]
+                group += batch.slice(x, y - x).to_pylist()  # one row for each slice of documents
         if group:
             yield from work(group)
 
     return run
 
 
+def _dealt(runs: DataFrame, buckets: int, n_bytes: int) -> DataFrame:
+    """The ranges' rows together and in the order of ranges; a partition holds many ranges."""
+    return runs.repartition(min(buckets, parts(runs.sparkSession, n_bytes, PART_BYTES)), "bucket").sortWithinPartitions("bucket")
+
+
 def shared_prefixes(keys: list[bytes]) -> np.ndarray:
     """How many bytes each key shares with the one before it (the first: 0)."""
     n = np.array([len(x) for x in keys])
@@ -254,7 +278,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[in
 _RUNS = "bucket int, kind int, k binary, sub binary, code binary, shared binary, sizes binary, tails binary, lefts binary"
 
 
-def _exchange_suffixes(base: DataFrame, candidates: DataFrame, length: int, buckets: int) -> DataFrame:
+def _exchange_suffixes(base: DataFrame, candidates: DataFrame, length: int, buckets: int, n_bytes: int) -> DataFrame:
     """(k, sub, first, last): byte ranges that occur earlier in the table."""
     names = ["bucket", "kind", "k", "sub", "code", "shared", "sizes", "tails", "lefts"]
 
@@ -274,16 +298,22 @@ def _exchange_suffixes(base: DataFrame, candidates: DataFrame, length: int, buck
                 pos, jlo, jhi = code >> 16, (code >> 8) & 255, code & 255
                 at = off[doc] + pos
                 a, b = at - jhi, at + length - jlo
-                sums = T.prefix_sums(buf)
-                h = gram_keys(sums, at)
-                whole = T.span_hash(sums, a, b)
+                h, whole = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+                for x in range(0, max(1, len(buf)), BLOCK_BYTES):
+                    here = np.flatnonzero((at >= x) & (at < x + BLOCK_BYTES))
+                    if len(here):
+                        low = max(0, x - length)
+                        sums = T.prefix_sums(buf[low : x + BLOCK_BYTES + length])
+                        h[here] = gram_keys(sums, at[here] - low)
+                        whole[here] = T.span_hash(sums, a[here] - low, b[here] - low)
                 k, sub = ks[first:last][doc], subs[first:last][doc].astype(np.int32)
                 # Equal surroundings in this slice: all but the first occurrence go at once.
-                order = np.lexsort((pos, sub, k, jhi, whole, h))
+                order = np.lexsort((pos, sub, k, sub >= 0, jhi, whole, h))
                 same = np.zeros(len(order), bool)
                 if len(order):
                     p, q = order[1:], order[:-1]
-                    same[1:] = (h[p] == h[q]) & (whole[p] == whole[q]) & (jhi[p] == jhi[q])
+                    alike = np.flatnonzero((h[p] == h[q]) & (whole[p] == whole[q]) & (jhi[p] == jhi[q]) & (b[p] - a[p] == b[q] - a[q]))
+                    same[1 + alike[_equal_bytes(buf, a[p[alike]], a[q[alike]], (b - a)[p[alike]])]] = True
                 rows = []
                 gone = order[same]
                 if len(gone):
@@ -348,63 +378,97 @@ def _exchange_suffixes(base: DataFrame, candidates: DataFrame, length: int, buck
 
     found = candidates.groupBy("k").agg(F.collect_list(F.struct("sub", "code")).alias("found"))
     runs = base.join(found, "k").select("k", "sub", "text", "found").mapInArrow(released(sort), _RUNS)
-    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_by_bucket(merge)), "k long, sub int, first long, last long")
+    return _dealt(runs, buckets, n_bytes).mapInArrow(released(_by_bucket(merge)), "k long, sub int, first long, last long")
+
 
+def _equal_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the (non-empty) spans of buf that begin at a and at b are equal."""
+    if not len(a):
+        return np.zeros(0, bool)
+    first = np.cumsum(size) - size
+    step = np.arange(size.sum()) - np.repeat(first, size)
+    return np.logical_and.reduceat(buf[np.repeat(a, size) + step] == buf[np.repeat(b, size) + step], first)
 
-#: Entries of merged suffixes that are resolved at once (whole groups of one gram each).
-_CHUNK = 20_000
+
+def shared_before(lefts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the strings when read from their ends, how many bytes each then shares with the one before)."""
+    wide = max(1, max(map(len, lefts)))
+    n = np.array([len(x) for x in lefts])
+    # Bytes are raised by one, so that what fills up short strings differs from all of them.
+    m = np.zeros((len(lefts), wide), ">u2")
+    flat = np.frombuffer(b"".join(lefts), np.uint8).astype(np.uint16) + 1
+    row = np.repeat(np.arange(len(n)), n)
+    m[row, np.repeat(np.cumsum(n), n) - 1 - np.arange(len(flat))] = flat
+    order = np.argsort(m.view(f"S{2 * wide}").ravel(), kind="stable")
+    out = np.zeros(len(n), np.int64)
+    differ = m[order[1:]] != m[order[:-1]]
+    alike = np.where(differ.any(1), differ.argmax(1), wide)
+    out[1:] = np.minimum(alike, np.minimum(n[order[1:]], n[order[:-1]]))
+    return order, out
+
+
+#: Suffixes in merged order that are resolved at once, or one gram's if they are more.
+_CHUNK = 50_000
 
 
 def _resolve(order, lcp, entries, length: int, remove) -> None:
-    """Removes, in every group of suffixes with the same gram, all but the first occurrence of each string."""
+    """Removes, among suffixes in merged order, all but the first occurrence of each string.
+
+    The string that starts j bytes before an anchor is equal to another one if the suffixes
+    share length - j bytes, which their neighbours' shared lengths tell, and the bytes before
+    share j, told in the same way in the order of the reversed bytes before.
+    """
     base = np.r_[0, np.cumsum([len(e[0]) for e in entries])]
     at = np.array([base[r] + p for r, p in order], np.int64)
+    lcp = np.array(lcp, np.int64)
+    # Suffixes that share no gram with a neighbour are done with.
+    near = lcp >= 8 + GRAM
+    keep = near | np.r_[near[1:], False]
+    at, lcp = at[keep], lcp[keep]
     k, sub, code = (np.concatenate([e[i] for e in entries])[at] for i in (0, 1, 2))
-    keys, lefts = [x for e in entries for x in e[3]], [x for e in entries for x in e[4]]
-    group = np.cumsum(np.array(lcp) < 8 + GRAM)
-    edge = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
-    size = np.diff(edge)
-    todo = edge[:-1][size > 1]
-    ends = edge[1:][size > 1]
+    lefts = [x for e in entries for x in e[4]]
+    # Whole groups of one gram at a time.
+    edge = np.r_[np.flatnonzero(lcp < 8 + GRAM), len(at)]
     start = 0
-    while start < len(todo):
-        stop = start + 1
-        while stop < len(todo) and ends[stop] - todo[start] <= _CHUNK:
-            stop += 1
-        rows = np.concatenate([np.arange(a, b) for a, b in zip(todo[start:stop], ends[start:stop])])
-        _resolve_chunk(k[rows], sub[rows], code[rows], [lefts[i] + keys[i][8:] for i in at[rows]], group[rows], length, remove)
+    while start < len(edge) - 1:
+        stop = max(start + 1, int(np.searchsorted(edge, edge[start] + _CHUNK, "right")) - 1)
+        x = slice(edge[start], edge[stop])
+        _resolve_groups(lcp[x], k[x], sub[x], code[x], [lefts[i] for i in at[x]], length, remove)
         start = stop
 
 
-def _resolve_chunk(k, sub, code, around: list[bytes], group, length: int, remove) -> None:
-    """around: each entry's bytes from its first string's start to its last string's end."""
+def _resolve_groups(lcp, k, sub, code, lefts: list[bytes], length: int, remove) -> None:
+    n = len(lcp)
     pos, jlo, jhi = code >> 16, (code >> 8) & 255, code & 255
-    # Occurrence order, so that the first of equal strings stays.
-    by = np.lexsort((pos, sub, k))
-    k, sub, pos, jlo, jhi, group = k[by], sub[by], pos[by], jlo[by], jhi[by], group[by]
-    around = [around[i] for i in by]
-    n = np.array([len(x) for x in around])
-    edge = np.r_[0, np.cumsum(n)]
-    buf = np.frombuffer(b"".join(around), np.uint8)
-    h = T.rolling_hash(T.prefix_sums(buf), length)
-    many = jhi - jlo + 1
-    owner = np.repeat(np.arange(len(k)), many)
-    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    j = jhi[owner] - step  # the anchor's place in the string
-    value = T.mix(h[edge[:-1][owner] + step] + group[owner].astype(np.uint64) * _U64(0xD6E8FEB86659FD93) + j.astype(np.uint64) * _U64(0x9FB21C651E98DF25))
-    order = np.argsort(value, kind="stable")
-    seen = np.zeros(len(order), bool)
-    seen[order[1:]] = value[order[1:]] == value[order[:-1]]
-    # Runs of neighbouring strings that have occurred before.
-    hit = np.flatnonzero(seen)
-    if not len(hit):
+    by_left, left = shared_before(lefts)
+    # The order of occurrences as a number.
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((pos, sub, k, sub >= 0))] = np.arange(n)
+    gone, place = [], []
+    for j in range(int(jlo.min()), int(jhi.max()) + 1):
+        mine = np.flatnonzero((jlo <= j) & (j <= jhi))
+        if len(mine) < 2:
+            continue
+        after = np.cumsum(lcp < 8 + length - j)
+        before = np.empty(n, np.int64)
+        before[by_left] = np.cumsum(left < j)
+        pair = after[mine] * (n + 1) + before[mine]
+        o = np.lexsort((rank[mine], pair))
+        seen = np.r_[False, pair[o[1:]] == pair[o[:-1]]]
+        gone.append(mine[o[seen]])
+        place.append(np.full(int(seen.sum()), j))
+    if not gone:
         return
-    new = np.r_[True, (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])]
-    first = hit[new]
-    last = hit[np.r_[np.flatnonzero(new)[1:], len(hit)] - 1]
-    o = owner[first]
-    begin = pos[o] - jhi[o]
-    remove(k[o], sub[o], begin + step[first], begin + step[last] + length)
+    e, j = np.concatenate(gone), np.concatenate(place)
+    if not len(e):
+        return
+    # Runs of neighbouring strings of one anchor go as one range.
+    o = np.lexsort((-j, e))
+    e, j = e[o], j[o]
+    new = np.r_[True, (e[1:] != e[:-1]) | (j[1:] != j[:-1] - 1)]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(e)] - 1
+    remove(k[e[first]], sub[e[first]], pos[e[first]] - j[first], pos[e[first]] - j[last] + length)
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, carry: bool = False) -> DataFrame:
@@ -413,15 +477,19 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, carry: bool = False)
     With carry also row, the row's columns but the text, and missing, whether the text is null.
     """
     spark = docs.sparkSession
-    buckets = parts(spark, text_bytes(docs), RANGE_BYTES)
+    n_bytes = text_bytes(docs)
+    buckets = parts(spark, n_bytes, RANGE_BYTES)
     own = [F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"), F.col("text").isNull().alias("missing")] if carry else []
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("k"), F.coalesce("text", F.lit("")).alias("text"), *own)
-    base = base.withColumn("sub", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("text"))))
+    h, known = F.xxhash64("text"), F.col("doc_id").isNotNull()
+    # Rows without an id are spread by their texts' hash.
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), h).alias("k"), known.alias("known"), h.alias("h"), F.coalesce("text", F.lit("")).alias("text"), *own)
+    nth = F.row_number().over(Window.partitionBy("k").orderBy("known", "h"))
+    base = base.withColumn("sub", F.when(F.col("known"), nth).otherwise(nth + _NO_ID)).drop("h")
     # Rows with the same id and text may be numbered the other way round each time; their ranges fit either.
     narrow = base.select("k", "sub", "text")
-    removed = _exchange_suffixes(narrow, _exchange_grams(narrow, length, buckets), length, buckets)
+    removed = _exchange_suffixes(narrow, _exchange_grams(narrow, length, buckets, n_bytes), length, buckets, n_bytes)
     ranges = removed.groupBy("k").agg(F.collect_list(F.struct("sub", "first", "last")).alias("ranges"))
-    return base.join(ranges, "k", "left").select("k", "sub", "text", "ranges", *(["row", "missing"] if carry else []))
+    return base.join(ranges, "k", "left").select("k", "known", "sub", "text", "ranges", *(["row", "missing"] if carry else []))
 
 
 def _kept(batch: pa.RecordBatch):
@@ -463,17 +531,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("k")[i : i + len(part)],
+                        batch.column("known")[i : i + len(part)],
                         pa.array([len(d) for d, _, _ in part], pa.int64()),
                         pa.array([len(d) - len(x) for d, x, _ in part], pa.int64()),
                         pa.array([s for _, _, s in part], pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for _, x, _ in part]),
                         pa.array([x.decode("utf-8", "ignore") for _, x, _ in part]),
                     ],
-                    ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                    ["k", "known", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
                 )
 
-    done = repeated_ranges(docs, length).mapInArrow(released(finish), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return done.select(F.nullif("k", F.lit(_LEAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+    done = repeated_ranges(docs, length).mapInArrow(released(finish), "k long, known boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return done.select(F.when(F.col("known"), F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
