@@ -155,6 +155,21 @@ def test_near_dedup_awkward_rows(awkward, nothing):
     assert N.link_documents(nothing).count() == 0
     kept = N.stage(awkward.sparkSession, awkward, "")
     assert kept.columns == awkward.columns and kept.filter("doc_id = 2").count() == 0
+    again = N.stage(awkward.sparkSession, awkward.unionByName(awkward), "")
+    ids = sorted((r.doc_id or 0, r.text or "") for r in again.collect())
+    # Of repeated rows one stays; rows without an id or a word are linked with nothing.
+    free = awkward.filter(r"doc_id is null or text is null or not text rlike '[^\\x20\\x09-\\x0D]'")
+    assert ids == sorted([(r.doc_id or 0, r.text or "") for r in kept.collect()] + [(r.doc_id or 0, r.text or "") for r in free.collect()])
+
+
+def test_frequent_shingles_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_ROWS", 3)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if rng.random() > 0.03 * rng.randrange(4) else f"v{rng.randrange(9999)}" for w in base) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(N.link_documents(docs, shingle_words=2).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_shingles, r.component_id) for r in rows] == links_by_force(texts, 2, 80)
 
 
 def test_size_bound_is_of_each_text_of_an_id(spark):

@@ -12,7 +12,8 @@ The k-th largest key is found by refining a histogram, so no more than one bin's
 ever sorted together, however large k is.
 
 Defined results: a null or empty text has no n-gram and a log-ratio of 0. Ties go to the
-smaller id. Rows that share an id get the same noise. Null ids come after all others. Without
+smaller id. Rows that share an id get the same noise, and of conflicting ratings of one id the
+higher holds. Null ids come after all others, and stay or go together at a tie. Without
 a rated document all ratios are 0 and all rows are kept. Further columns have no effect. An
 empty table gives no rows.
 """
@@ -75,7 +76,7 @@ def count_ngrams(flagged: DataFrame) -> DataFrame:
 
 def log_ratios(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
     """log(target / raw) of every bucket; share of well-rated documents among the rated ones."""
-    rated = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    rated = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n, good = rated.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") > 0).cast("int")), F.lit(0))).first()
     wanted = rated.filter("quality > 0").select("doc_id", F.lit(True).alias("is_target"))
     if good > sample_rows:
@@ -112,8 +113,28 @@ def kth_largest(keys: DataFrame, k: int) -> tuple[float, int | None] | None:
         low, high = rows.agg(F.min("key"), F.max("key")).first()
         if counts[b] <= BINS:
             break
-    last = rows.orderBy(F.desc("key"), F.asc_nulls_last("doc_id")).limit(k).orderBy("key", F.desc_nulls_first("doc_id")).first()
-    return last["key"], last["doc_id"]
+    if low < high:  # at most BINS rows
+        last = rows.orderBy(F.desc("key"), F.asc_nulls_last("doc_id")).limit(k).orderBy("key", F.desc_nulls_first("doc_id")).first()
+        return last["key"], last["doc_id"]
+    # However many rows hold one key: their ids by the same refinement, none of them sorted.
+    if rows.filter("doc_id is not null").count() < k:
+        return low, None
+    return low, _kth_smallest_id(rows, k)
+
+
+def _kth_smallest_id(rows: DataFrame, k: int) -> int:
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    while low < high:
+        width = -(-(high - low + 1) // BINS)
+        # Decimals, for the span of two ids may exceed a long.
+        bin_ = F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("int")
+        counts = dict(map(tuple, rows.filter(F.col("doc_id").between(low, high)).groupBy(bin_.alias("b")).count().collect()))  # at most BINS rows
+        for b in sorted(counts):
+            if counts[b] >= k:
+                break
+            k -= counts[b]
+        low, high = low + b * width, min(high, low + (b + 1) * width - 1)
+    return low
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

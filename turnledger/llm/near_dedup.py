@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -40,6 +40,8 @@ BANDS, ROWS = 80, 7
 BITS = 2
 #: Counters of the table by which shingles are ordered from rare to common; any order gives the same links.
 COUNTERS, COUNTER_CHUNK = 1 << 18, 1 << 12
+#: Rows of one shingle that meet as many others in a task.
+CELL_ROWS = 500
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 MARGIN = 6.0
 
@@ -194,12 +196,11 @@ def _shingle_counts(texts: DataFrame, shingle_words: int) -> np.ndarray:
         chunks = total.reshape(-1, COUNTER_CHUNK)
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.arange(len(chunks), dtype=np.int32)), "n": pa.array(list(chunks), pa.list_(pa.int64()))})
 
-    rows = texts.select("text").mapInArrow(released(count), "chunk int, n array<long>")
-    sums = rows.groupBy("chunk").agg(F.collect_list("n").alias("all"))  # one list per task
+    # Counted per place of the table with partial sums, so no task holds more than the table.
+    rows = texts.select("text").mapInArrow(released(count), "chunk int, n array<long>").select("chunk", F.posexplode("n").alias("place", "n")).filter("n > 0")
     total = np.zeros(COUNTERS, np.int64)
-    summed = sums.select("chunk", F.aggregate("all", F.array_repeat(F.lit(0).cast("long"), COUNTER_CHUNK), lambda x, y: F.zip_with(x, y, lambda i, j: i + j)).alias("n"))
-    for chunk, n in summed.toLocalIterator():  # COUNTERS numbers in all
-        total[chunk * COUNTER_CHUNK : (chunk + 1) * COUNTER_CHUNK] = n
+    for chunk, place, n in rows.groupBy("chunk", "place").agg(F.sum("n")).toLocalIterator():  # COUNTERS numbers at most
+        total[chunk * COUNTER_CHUNK + place] = n
     return total
 
 
@@ -224,17 +225,21 @@ def _prefix_pairs(open_: DataFrame, texts: DataFrame, shingle_words: int, percen
 
     # n is the size of the text's own set: texts that share an id have each their own.
     rows = texts.mapInArrow(released(prefixes), "node long, shingle long, place int, n long").join(open_.select("node", "comp"), "node")
-    rare = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle")
-    rows = durable(rows.join(rare, "shingle", "left_semi"))
-    def side(c: str) -> DataFrame:
-        return rows.select("shingle", *(F.col(x).alias(x + c) for x in ("node", "comp", "n", "place")))
+    rare = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).filter("lo <> hi")
+    # A frequent shingle's rows are cut in cells on both sides, and every two cells meet in a task of their own.
+    cells = F.ceil(F.col("many") / CELL_ROWS).cast("int")
+    rows = durable(rows.join(rare.select("shingle", "many"), "shingle").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("node", "place"), F.col("cells")).cast("int")).drop("many"))
+    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+
+    def side(c: str, own: str, other: str) -> DataFrame:
+        return rows.select("shingle", F.col("cell").alias(own), every.alias(other), *(F.col(x).alias(x + c) for x in ("node", "comp", "n", "place")))
 
     # Where the first shared shingle stands bounds what two sets can share from there on.
     most = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
     fits = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
-    meet = side("a").join(side("b"), "shingle").filter((F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb")) & fits)
-    meet = meet.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
-    return meet.select("a", "b").distinct()
+    both = side("a", "x", "y").join(side("b", "y", "x"), ["shingle", "x", "y"])
+    meet = both.filter((F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb")) & fits)
+    return meet.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
 
 
 def link_documents(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -290,9 +295,23 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group of near duplicates (five-word shingles, 0.8)."""
+    """Keeps one document, the one with the smallest id, of each group of near duplicates (five-word shingles, 0.8).
+
+    Of rows that share a kept id and all their words one stays; rows without an id all stay.
+    """
     gone = link_documents(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = durable(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if not twice.limit(1).count():
+        return left
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.sha2(F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")), 256)
+    # Rows without a word are linked with nothing, so they stay; apart by their row number among equals.
+    order = Window.partitionBy("doc_id", "words_").orderBy(F.xxhash64("text"))
+    some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    again = left.join(twice, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"), words.alias("words_"), some.alias("some_"))
+    first = again.withColumn("nth_", F.row_number().over(order)).filter("nth_ = 1 or not some_").select("row.*")
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
 
 
 QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}

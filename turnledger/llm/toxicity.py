@@ -17,7 +17,7 @@ ratio. Learning uses a sample of labelled rows whose expected size is bounded by
 
 Defined results: a null or empty text has no clause and gets the score of an empty text.
 Rows are independent, so ties, repeated rows, null ids and further columns have no effect.
-Without labels only the seed list scores. An empty table gives no rows.
+Of conflicting labels of one id the higher holds. Without labels only the seed list scores. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -242,7 +242,7 @@ def _model(features: np.ndarray, weights: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_size: int = LEXICON_SIZE) -> Model:
     """Learns from the labelled documents that aren't held out."""
-    known = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if n > sample_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
