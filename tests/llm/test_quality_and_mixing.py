@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -33,6 +35,39 @@ def test_rule_features_equal_brute_force(awkward, nothing):
     assert Q.judge(nothing).count() == 0
 
 
+def rejected_by_force(text):
+    """Whether a rule after the base rejects."""
+    text = text or ""
+    words, chars, symbols, dup, _ = features(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    upper = sum(unicodedata.category(c) == "Lu" for c in text)
+    bullets = sum(bool(re.match(r"[\x20\x09-\x0D]*[-*\u2022\u25cf]", x)) for x in lines)
+    dots = sum(bool(re.search(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$", x)) for x in lines)
+    bare = sum(not re.search(r"[A-Za-z\u0080-\U0010ffff]", w) for w in WORD.findall(text))
+    return 100 * symbols > 5 * chars or 100 * upper > 40 * chars or 100 * dup > 40 * len(lines) or chars > 15 * words or 100 * bullets > 90 * len(lines) or 100 * dots > 30 * len(lines) or 100 * bare > 50 * words
+
+
+def test_verdicts_equal_brute_force(spark, awkward):
+    words = ["alpha", "BETA", "12", "gamma...", "x\u2026", "#", "- a", "\u2022 b", "\n", "e\n", "\u00c9T\u00c9", "--", "longlonglonglonglong"]
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(rng.sample(words, 4) + [f"w{k}"]) for k in range(80)) for _ in range(150)]
+    texts += [sign + "\n".join(f"{lead}line {i} of a text{end}" for i in range(20)) for sign in ("", "# ") for lead in ("", "- ", "* ") for end in ("", "...", "\u2026 ")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for d in (docs, awkward):
+        for r in Q.judge(d).join(d.select("doc_id", "text"), "doc_id").collect():
+            if d is docs:
+                assert r.kept == (not r.base_failed and not rejected_by_force(r.text)), (r.text, r.rejected_by)
+            assert r.kept == (not r.base_failed and r.rejected_by is None)
+
+
+def test_costs_are_those_of_rules(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 300) for i in range(300)], "doc_id long, text string")
+    dear = F.regexp_count("_text", F.lit(r"(\p{Lu}|\p{Ll}|\d)+?\s")) < 0
+    rules = [Q.Rule("dear", dear), Q.Rule("cheap", F.col("n_words") < 0)]
+    cost = {r.name: c for r, _, c in Q.measure(Q.with_features(docs), rules)}
+    assert cost["dear"] > 5 * cost["cheap"]
+
+
 def test_order_of_rules_leaves_the_verdict(awkward):
     rules = Q.default_rules()
     verdicts = [sorted(map(tuple, Q.judge(awkward, r).select(F.coalesce("doc_id", F.lit(-1)), "kept").collect())) for r in (rules, rules[::-1], rules[:0])]
@@ -155,6 +190,15 @@ def test_kth_largest(spark):
     assert I.kth_largest(df, 9001) is None and I.kth_largest(df.limit(0), 1) is None
 
 
+def test_kth_largest_among_ties(spark):
+    ids = [int(x) for x in np.random.default_rng(4).choice([*range(-5000, 5000), 2**62, -(2**62)], 9000, replace=False)]
+    df = spark.createDataFrame([(i, float(n % 2)) for n, i in enumerate(ids)] + [(None, 1.0)] * 3000, "doc_id long, key double")
+    ones = sorted(i for n, i in enumerate(ids) if n % 2)
+    for k in (1, 100, 4500):
+        assert I.kth_largest(df, k) == (1.0, ones[k - 1])
+    assert I.kth_largest(df, 4501) == (1.0, None)
+
+
 def test_resampling(spark, awkward, nothing, labels):
     sf = "/root/testdata/sf0.001"
     rows = I.op2_importance_resampling(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()

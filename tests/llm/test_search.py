@@ -7,13 +7,13 @@ from turnledger.llm import topk_search as K
 
 
 def by_force(rows, k, is_query):
-    ok = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for q, a in ok:
+    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, (q, a) in enumerate(ok):
         if is_query(q):
-            found = sorted(((-int(a @ b), i) for i, b in ok if i != q))[:k]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(found)}
-    return out
+            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(ok) if m != n)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("n", [3, 40, 1500])
@@ -22,8 +22,10 @@ def test_equal_to_brute_force(spark, n):
     rows = [(i, [float(x) for x in rng.normal(size=12) * rng.choice([0.1, 1, 3])]) for i in range(n)]
     rows += [(n + i, rows[1][1]) for i in range(min(n, 700))]  # one common vector, so ties
     rows += [(10_000, None), (10_050, [1.0, None] + [0.0] * 10), (10_100, [float("nan")] * 12), (10_150, [float("inf")] * 12), (None, [1.0] * 12)]
+    # Repeated queries and candidates, shorter vectors and an empty one.
+    rows += [(50, rows[0][1]), (50, rows[2][1]), (50, rows[2][1]), (7, rows[0][1]), (100, [2.0, -1.0]), (20_001, [3.0] * 5), (20_050, [])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
-    got = {tuple(r) for r in K.top_k(df, 5, lambda c: c % 50 == 0).collect()}
+    got = sorted(tuple(r) for r in K.top_k(df, 5, lambda c: c % 50 == 0).collect())
     assert got == by_force(rows, 5, lambda i: i % 50 == 0)
 
 

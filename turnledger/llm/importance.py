@@ -126,14 +126,14 @@ def _kth_smallest_id(rows: DataFrame, k: int) -> int:
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     while low < high:
         width = -(-(high - low + 1) // BINS)
-        # Decimals, for the span of two ids may exceed a long.
-        bin_ = F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("int")
+        # Division that rounds down, exact for every long.
+        bin_ = F.expr(f"(doc_id - pmod(doc_id, {width}L)) div {width}L")
         counts = dict(map(tuple, rows.filter(F.col("doc_id").between(low, high)).groupBy(bin_.alias("b")).count().collect()))  # at most BINS rows
         for b in sorted(counts):
             if counts[b] >= k:
                 break
             k -= counts[b]
-        low, high = low + b * width, min(high, low + (b + 1) * width - 1)
+        low, high = max(low, b * width), min(high, (b + 1) * width - 1)
     return low
 
 

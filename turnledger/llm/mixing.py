@@ -1,7 +1,7 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Every source is cut into blocks: a document's block is a hash of its id, so the blocks of a
-source are a random permutation of its documents. Targets share out the words of the whole
+Every source is cut into blocks: a document's block is a hash of its id and text, so the blocks
+of a source are a random permutation of its documents. Targets share out the words of the whole
 table by weight; no target exceeds a fixed multiple of its source, and what is over goes to
 the others. A source gives whole passes over its blocks and then a last, partial pass:
 the first blocks, up to its target, and from the block at the cut the documents that fill
@@ -16,6 +16,10 @@ each source it gets, and from which number on. The shards' blocks are disjoint a
 all that is taken, so shards are of even size and each holds the sources by their targets. Rows
 are shuffled inside a shard only.
 
+Copies are made before the exchange by shard, as they go to different shards; all that is taken
+has about as many words as the table, so that much is exchanged. Tables with a row per source or
+block are broadcast while they have at most 2^18 rows, else joined as any other.
+
 Defined results: a null or empty text has 0 words and is never needed; the null source is
 a source of its own, last in order. Rows that share an id are separate rows in the same
 block. Without any word nothing is taken. Further columns are kept by ``mix`` and have no
@@ -31,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, released, table
+from .common import durable, released, small, table
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_PASSES = 3
@@ -90,13 +94,13 @@ class Decisions:
 
 
 def _in_blocks(df: DataFrame, per_source: DataFrame, seed: int) -> DataFrame:
-    mixed = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return df.join(F.broadcast(per_source), _same("source", "_s")).drop("_s").withColumn("_block", F.pmod(mixed, F.col("_blocks")))
+    mixed = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_h")
+    return df.join(per_source, _same("source", "_s")).drop("_s").withColumn("_block", F.pmod(mixed, F.col("_blocks")))
 
 
 def _with_cuts(df: DataFrame, per_source: DataFrame, cuts: DataFrame, whole: DataFrame, seed: int) -> DataFrame:
-    df = _in_blocks(df, per_source, seed).join(F.broadcast(cuts), _same("source", "_s"), "left").drop("_s")
-    df = df.join(F.broadcast(whole), _same("source", "_w"), "left").drop("_w")
+    df = _in_blocks(df, per_source, seed).join(cuts, _same("source", "_s"), "left").drop("_s")
+    df = df.join(whole, _same("source", "_w"), "left").drop("_w")
     return df.withColumn("_extra", (F.col("_block") <= F.coalesce("_last", F.lit(-1))).cast("int"))
 
 
@@ -113,7 +117,7 @@ def decide(narrow: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: in
     plan["rest"] = np.where(positive & (passes < most), plan["target"] - passes * plan["size"], 0.0)
     spark = narrow.sparkSession
     listed = [(None if pd.isna(s) else s, int(z), float(t), int(b), int(p), float(r)) for s, z, t, b, p, r in plan[["source", "size", "target", "blocks", "passes", "rest"]].itertuples(index=False)]
-    per_source = spark.createDataFrame(listed, "_s string, _source_size long, _target double, _blocks long, _passes long, _rest double")
+    per_source = small(spark.createDataFrame(listed, "_s string, _source_size long, _target double, _blocks long, _passes long, _rest double"), len(listed))
 
     # At most MOST_BLOCKS rows and one per source: words before each block in its source.
     totals = _in_blocks(narrow, per_source, seed).groupBy(F.col("source").alias("_s"), F.col("_block").alias("_b")).agg(F.sum("_size").alias("words"), F.max("_rest").alias("rest")).toPandas()
@@ -123,9 +127,11 @@ def decide(narrow: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: in
     totals["before"], totals["end"] = end - totals["words"], end
     cut = totals[(totals["before"] < totals["rest"]) & (totals["end"] > totals["rest"])]
     cuts = spark.createDataFrame([(None if k[0] else k[1], int(b), float(r - w)) for k, b, r, w in cut[["key", "_b", "rest", "before"]].itertuples(index=False)], "_s string, _cut long, _room double")
+    cuts = small(cuts, len(cut))
     # Sources whose last pass ends exactly between two blocks, or that have none.
     ends = totals[totals["end"] <= totals["rest"]].groupby("key", sort=False)["_b"].max()
     whole = spark.createDataFrame([(None if k[0] else k[1], int(b)) for k, b in ends.items()], "_w string, _last long")
+    whole = small(whole, len(ends))
 
     # A block is taken once in each whole pass, and once more before or at the cut.
     passes_of = {k: p for (k, *_), p in zip(listed, plan["passes"])}
@@ -136,18 +142,18 @@ def decide(narrow: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: in
         extra = b <= end_of.get(k, -1) or b == cut_of.get(k, -1)
         units += [(source, copy, int(b)) for copy in range(1, int(passes_of[source]) + int(extra) + 1)]
 
-    # In the one block at the cut: the documents that fill the rest best, larger ones first.
-    at_cut = _with_cuts(narrow, per_source, cuts, whole, seed).filter("_block = _cut").select("source", "doc_id", F.col("_h").alias("h"), F.col("_size").alias("words"), F.col("_room").alias("room"))
+    # In the one block at the cut: the documents that fill the rest best, larger ones first; equal rows as one with a count.
+    at_cut = _with_cuts(narrow, per_source, cuts, whole, seed).filter("_block = _cut")
+    at_cut = at_cut.groupBy("source", "doc_id", F.col("_h").alias("h")).agg(F.max("_size").alias("words"), F.max("_room").alias("room"), F.count("*").alias("n"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["words", "doc_id", "h"], ascending=[False, True, True], kind="stable")
         room, take = float(pdf["room"].iloc[0]), []
-        for words in pdf["words"]:
-            ok = 0 < words <= room
-            take.append(ok)
-            room -= words if ok else 0
+        for words, n in zip(pdf["words"], pdf["n"]):
+            take.append(min(int(n), int(room // words)) if words else 0)
+            room -= words * take[-1]
         pdf["take"] = np.array(take, "int64")
-        return pdf.groupby(["source", "doc_id", "h"], dropna=False, as_index=False)["take"].sum()[["source", "doc_id", "h", "take"]]
+        return pdf[["source", "doc_id", "h", "take"]]
 
     kind = dict(narrow.dtypes)["doc_id"]
     # Arrow keeps a null id apart only as a nullable integer; as text it is safe.
@@ -216,7 +222,7 @@ def dealt(spark: SparkSession, d: Decisions) -> DataFrame:
     quotas = shard_quotas(spark, blocks, shard_count(d), d.seed)
     quotas = quotas.select("shard", F.col("source").alias("_q"), F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("_at"))
     units = spark.createDataFrame(numbered, "_s string, _number long, _c int, _b long")
-    return quotas.join(F.broadcast(units), _same("_q", "_s") & (F.col("_at") == F.col("_number"))).select("shard", "_s", "_c", "_b")
+    return quotas.join(small(units, len(numbered)), _same("_q", "_s") & (F.col("_at") == F.col("_number"))).select("shard", "_s", "_c", "_b")
 
 
 def shard_count(d: Decisions) -> int:
@@ -227,7 +233,7 @@ def _mixed(docs: DataFrame, d: Decisions) -> DataFrame:
     columns = docs.columns
     copies = _drawn(sized(docs), d).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     unit = _same("source", "_s") & (F.col("_copy") == F.col("_c")) & (F.col("_block") == F.col("_b"))
-    placed = copies.join(F.broadcast(dealt(docs.sparkSession, d)), unit)
+    placed = copies.join(small(dealt(docs.sparkSession, d), len(d.units)), unit)
     return placed.repartition(shard_count(d), "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(d.seed), "doc_id", "_copy")).select(*columns, "shard")
 
 
@@ -245,7 +251,7 @@ def taken(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, seed: int =
     found = written.select("doc_id", "source", F.xxhash64("text").alias("_h")).groupBy(*(F.col(c).alias(f"m{c}") for c in key)).agg(F.count("*").alias("_found"))
     rows = narrow.groupBy(*key).agg(F.count("*").alias("_rows"), F.max("_size").alias("size"))
     same = _same("doc_id", "mdoc_id") & _same("source", "msource") & _same("_h", "m_h")
-    rows = rows.join(found, same, "left").join(F.broadcast(d.per_source), _same("source", "_s"))
+    rows = rows.join(found, same, "left").join(d.per_source, _same("source", "_s"))
     # Equal rows share what was found of them as draw() deals it: alike, the first ones once more.
     rows = rows.withColumn("_found", F.coalesce("_found", F.lit(0))).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
     copies = F.floor(F.col("_found") / F.col("_rows")) + (F.col("_nth") <= F.col("_found") % F.col("_rows")).cast("long")

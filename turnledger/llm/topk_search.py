@@ -13,11 +13,12 @@ Annuli are stored as blocks of a bounded number of rows, and queries are sent to
 groups of a bounded number, so a common vector or a crowded annulus is spread over tasks.
 Only the pivots and the bounds of the annuli (at most ``MAX_PIVOTS * RINGS`` rows) go to all tasks.
 
-Defined results: vectors that are null, hold null or non-finite components, have a null id,
-or differ in length from the most common length take no part. Ties go to the smaller id;
-rows that share an id are separate candidates, and all rows of a query's id are left out of
-its result. Fewer candidates than k give fewer rows. Further columns have no effect. An
-empty table gives no rows. Scores are exact while they stay below 2^53.
+Defined results: vectors that are null, hold null or non-finite components, or have a null id
+take no part. Shorter vectors, empty ones too, count as if zeros followed. Ties go to the
+smaller id; rows that share an id are separate queries and separate candidates, and only a
+query's own row is left out of its result. Fewer candidates than k give fewer rows. Further
+columns have no effect. An empty table gives no rows. Scores are exact while they stay below
+2^53.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def quantized(vectors: DataFrame, id_column: str = "vec_id", vector_column: str
     x = F.transform(vector_column, lambda c: c.cast("double"))
     df = vectors.select(F.col(id_column).cast("long").alias("id"), x.alias("x"))
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    df = df.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & finite & (F.size("x") > 0))
+    df = df.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & finite)
     return df.select("id", F.transform("x", lambda c: F.floor(c * SCALE).cast("double")).alias("v"))
 
 
@@ -74,11 +75,13 @@ def top_k(vectors: DataFrame, k: int, is_query, id_column: str = "vec_id", vecto
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     base = quantized(vectors, id_column, vector_column)
-    sizes = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not sizes:
+    # A number for each row, fixed by writing it.
+    base = durable(base.withColumn("row", F.monotonically_increasing_id()))
+    rows, dim = base.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not rows:
         return empty
-    dim, rows = sizes[0]
-    base = durable(base.filter(F.size("v") == dim))
+    dim = max(dim, 1)
+    base = base.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v"))))
     top = base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     sample = np.array([r[0] for r in base.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").collect()])  # bounded
     pivots = _pivots(_lift(sample, top), int(np.clip(np.sqrt(rows) / 8, 1, MAX_PIVOTS)))
@@ -89,9 +92,9 @@ def top_k(vectors: DataFrame, k: int, is_query, id_column: str = "vec_id", vecto
                 m = np.stack(pdf["v"])
                 d = _distances(_lift(m, top), pivots)
                 near = d.argmin(1)
-                yield pd.DataFrame({"id": pdf["id"], "pivot": near.astype(np.int32), "dist": d[np.arange(len(m)), near], "v": [r.tobytes() for r in m]})
+                yield pd.DataFrame({"id": pdf["id"], "row": pdf["row"], "pivot": near.astype(np.int32), "dist": d[np.arange(len(m)), near], "v": [r.tobytes() for r in m]})
 
-    keyed = durable(base.mapInPandas(released(key), "id long, pivot int, dist double, v binary"))
+    keyed = durable(base.mapInPandas(released(key), "id long, row long, pivot int, dist double, v binary"))
     reach = keyed.groupBy("pivot").agg(F.max("dist").alias("far"))
     # One row for each annulus: at most MAX_PIVOTS * RINGS.
     placed = keyed.join(F.broadcast(reach), "pivot").withColumn("ring", F.least(F.floor(F.col("dist") * RINGS / (F.col("far") + 1e-9)), F.lit(RINGS - 1)).cast("int")).drop("far")
@@ -102,12 +105,12 @@ def top_k(vectors: DataFrame, k: int, is_query, id_column: str = "vec_id", vecto
         """Blocks of rows: one row each with the ids and vectors in a row."""
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("id")
-            return pd.DataFrame({"pivot": pdf["pivot"].iloc[:1], "ring": pdf["ring"].iloc[:1], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vs": [b"".join(pdf["v"])], "least": [pdf["least"].to_numpy(np.float64).tobytes()]})
+            pdf = pdf.sort_values(["id", "row"])
+            return pd.DataFrame({"pivot": pdf["pivot"].iloc[:1], "ring": pdf["ring"].iloc[:1], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "rows": [pdf["row"].to_numpy(np.int64).tobytes()], "vs": [b"".join(pdf["v"])], "least": [pdf["least"].to_numpy(np.float64).tobytes()]})
 
-        return df.withColumn("salt", salt).groupBy("pivot", "ring", "salt").applyInPandas(one, "pivot int, ring int, ids binary, vs binary, least binary")
+        return df.withColumn("salt", salt).groupBy("pivot", "ring", "salt").applyInPandas(one, "pivot int, ring int, ids binary, rows binary, vs binary, least binary")
 
-    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS))
+    salt = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / BLOCK_ROWS))
     with_n = placed.join(F.broadcast(counts), ["pivot", "ring"]).withColumn("least", F.lit(0.0))
     blocks = durable(packed(with_n.withColumn("s", salt).drop("n"), F.col("s")))
 
@@ -124,9 +127,10 @@ def top_k(vectors: DataFrame, k: int, is_query, id_column: str = "vec_id", vecto
             for pdf in batches:
                 out = []
                 for r in pdf.itertuples(index=False):
-                    q, c = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
+                    q, q_row = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_rows, np.int64)
+                    c, c_row = np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows, np.int64)
                     s = np.frombuffer(r.q_vs).reshape(len(q), dim) @ np.frombuffer(r.vs).reshape(len(c), dim).T
-                    s[q[:, None] == c[None]] = -np.inf
+                    s[q_row[:, None] == c_row[None]] = -np.inf
                     least = np.frombuffer(r.q_least)
                     for i in range(len(q)):
                         # ids ascend, so a stable sort gives ties to the smaller one
@@ -136,21 +140,21 @@ def top_k(vectors: DataFrame, k: int, is_query, id_column: str = "vec_id", vecto
                             best = np.flatnonzero(s[i] >= max(cutoff, least[i]))
                             best = best[np.argsort(-s[i][best], kind="stable")][:k]
                         best = best[(s[i][best] >= least[i]) & (s[i][best] > -np.inf)]
-                        out.append(pd.DataFrame({"query_id": q[i], "vec_id": c[best], "score": s[i][best].astype(np.int64)}))
-                yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                        out.append(pd.DataFrame({"query_id": q[i], "query_row": q_row[i], "vec_id": c[best], "score": s[i][best].astype(np.int64)}))
+                yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []}).astype("int64")
 
-        asked = packed(asked.select("id", "pivot", "ring", "v", "least"), F.pmod(F.xxhash64("id"), F.lit(groups)))
-        asked = asked.withColumnsRenamed({"ids": "q_ids", "vs": "q_vs", "least": "q_least"})
-        return asked.join(blocks.drop("least"), ["pivot", "ring"]).select("q_ids", "q_vs", "q_least", "ids", "vs").mapInPandas(released(score), "query_id long, vec_id long, score long")
+        asked = packed(asked.select("id", "row", "pivot", "ring", "v", "least"), F.pmod(F.xxhash64("row"), F.lit(groups)))
+        asked = asked.withColumnsRenamed({"ids": "q_ids", "rows": "q_rows", "vs": "q_vs", "least": "q_least"})
+        return asked.join(blocks.drop("least"), ["pivot", "ring"]).select("q_ids", "q_rows", "q_vs", "q_least", "ids", "rows", "vs").mapInPandas(released(score), "query_id long, query_row long, vec_id long, score long")
 
     def best(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     def next_rings(found: DataFrame, most: int | None, skip: int) -> DataFrame:
         """For each query the annuli after its own and the skip nearest, in the order of their bounds, that may hold better rows."""
-        kth = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("least"))
-        state = queries.join(kth, "id", "left").select("id", "pivot", "ring", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        kth = found.filter(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("least"))
+        state = queries.join(kth, "row", "left").select("id", "row", "pivot", "ring", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
 
         def expand(batches):
             for pdf in batches:
@@ -169,9 +173,9 @@ def top_k(vectors: DataFrame, k: int, is_query, id_column: str = "vec_id", vecto
                 # A little slack covers rounding.
                 q, at = np.nonzero(np.take_along_axis(bound, order, 1) <= (radius * (1 + 1e-9) + 1e-6)[:, None])
                 r = order[q, at]
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[q], "pivot": ring_pivot[r], "ring": ring_ring[r], "v": pdf["v"].to_numpy()[q], "least": least[q]})
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[q], "row": pdf["row"].to_numpy()[q], "pivot": ring_pivot[r], "ring": ring_ring[r], "v": pdf["v"].to_numpy()[q], "least": least[q]})
 
-        return state.mapInPandas(released(expand), "id long, pivot int, ring int, v binary, least double")
+        return state.mapInPandas(released(expand), "id long, row long, pivot int, ring int, v binary, least double")
 
     found = durable(best(search(queries.withColumn("least", F.lit(float("-inf"))))))
     step = search(next_rings(found, FIRST_RINGS, 0))
@@ -189,13 +193,13 @@ QUERIES = {"op7_topk_search": op7_topk_search}
 ORACLE_SQL = {
     "op7_topk_search": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-c AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
-  FROM c AS q JOIN c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+  SELECT q.n, q.vec_id AS query_id, c.vec_id,
+    coalesce(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])), 0)::BIGINT AS score
+  FROM v AS q JOIN v AS c ON q.n <> c.n WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
