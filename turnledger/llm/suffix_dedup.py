@@ -377,7 +377,7 @@ def _exchange_suffixes(base: DataFrame, candidates: DataFrame, length: int, buck
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int64)), pa.array(out[3].astype(np.int64))], ["k", "sub", "first", "last"])
 
     found = candidates.groupBy("k").agg(F.collect_list(F.struct("sub", "code")).alias("found"))
-    runs = base.join(found, "k").select("k", "sub", "text", "found").mapInArrow(released(sort), _RUNS)
+    runs = base.join(found, "k").mapInArrow(released(sort), _RUNS)
     return _dealt(runs, buckets, n_bytes).mapInArrow(released(_by_bucket(merge)), "k long, sub int, first long, last long")
 
 
@@ -486,10 +486,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, carry: bool = False)
     nth = F.row_number().over(Window.partitionBy("k").orderBy("known", "h"))
     base = base.withColumn("sub", F.when(F.col("known"), nth).otherwise(nth + _NO_ID)).drop("h")
     # Rows with the same id and text may be numbered the other way round each time; their ranges fit either.
-    narrow = base.select("k", "sub", "text")
-    removed = _exchange_suffixes(narrow, _exchange_grams(narrow, length, buckets, n_bytes), length, buckets, n_bytes)
+    # All three passes over the texts read the same columns, so that one exchange of the texts serves them all.
+    removed = _exchange_suffixes(base, _exchange_grams(base, length, buckets, n_bytes), length, buckets, n_bytes)
     ranges = removed.groupBy("k").agg(F.collect_list(F.struct("sub", "first", "last")).alias("ranges"))
-    return base.join(ranges, "k", "left").select("k", "known", "sub", "text", "ranges", *(["row", "missing"] if carry else []))
+    return base.join(ranges, "k", "left")
 
 
 def _kept(batch: pa.RecordBatch):
