@@ -56,3 +56,19 @@ DECLINATION = r"(?i)user doesn't want to proceed|tool use was rejected|user reje
 
 def is_declination(text: Column) -> Column:
     return F.coalesce(text.rlike(DECLINATION), F.lit(False))
+
+
+def redact_tool_name(tool: Column) -> Column:
+    """A tool's name without the server it belongs to."""
+    parts = F.split(tool, "__")
+    return F.when(server_of(tool).isNotNull(), F.concat(F.lit("mcp:"), F.array_join(F.slice(parts, F.lit(3), F.size(parts)), "__"))).otherwise(tool)
+
+
+def lenient_tools(text: Column) -> Column:
+    """Tools stored as JSON; what is no list of texts is empty."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def lenient_sizes(text: Column) -> Column:
+    """Sizes by tool stored as JSON; null stays unmeasured, what is no object is empty."""
+    return F.when(text.isNotNull(), F.map_filter(F.coalesce(F.from_json(text, "map<string,bigint>"), F.create_map().cast("map<string,bigint>")), lambda k, v: v.isNotNull()))

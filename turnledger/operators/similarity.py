@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import shingles, word_list
+from ..functions.pricing import price_turns
+from ..functions.text import SHINGLE_WORDS, redact_text, shingles, word_list
+from ..tables import stored
+from .annotate import with_sums
 
 SIMILAR = 0.4
 RELAY_THRESHOLD, RELAY_DAYS, MIN_SHINGLES = 0.35, 14, 24
@@ -26,15 +29,16 @@ def term_vectors(fingerprints: DataFrame) -> DataFrame:
     return t.join(norm, "item").select("item", "term", (F.col("idf") / F.col("norm")).alias("w"), "df")
 
 
-def similar_sessions(fingerprints: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+def similar_sessions(fingerprints: DataFrame, threshold: float = SIMILAR, reps: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b, similarity) of items with different term sets whose cosine reaches the threshold.
 
     Items with equal terms are one (their cosine is 1) and stand for each other. Of a vector
     only the rarest terms are indexed, up to where the rest is too short to reach the
-    threshold, so a pair without a common indexed term cannot be similar.
+    threshold, so a pair without a common indexed term cannot be similar. With reps only these
+    items are compared; all still count for the terms' weights.
     """
     sets = fingerprints.withColumn("terms", F.array_sort(F.array_distinct("terms")))
-    reps = sets.groupBy("terms").agg(F.min("item").alias("item"))
+    reps = sets.groupBy("terms").agg(F.min("item").alias("item")) if reps is None else reps
     v = term_vectors(fingerprints).join(reps.select("item"), "item", "left_semi")
     rare = Window.partitionBy("item").orderBy("df", "term")
     rest = F.sum(F.col("w") * F.col("w")).over(rare.rowsBetween(0, Window.unboundedFollowing))
@@ -47,31 +51,52 @@ def similar_sessions(fingerprints: DataFrame, threshold: float = SIMILAR) -> Dat
 
 
 def prompt_messages(messages: DataFrame) -> DataFrame:
-    """The first occurrence of each distinct prompt of a session; messages has (session_id, ts, text)."""
+    """The first occurrence of each distinct prompt of a session, redacted; messages has (session_id, ts, text)."""
     w = Window.partitionBy("session_id", "text").orderBy("ts")
-    return messages.filter(F.trim("text") != "").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    first = messages.filter(F.trim("text") != "").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return first.withColumn("text", redact_text(F.col("text")))
 
 
 def output_shingles(outputs: DataFrame) -> DataFrame:
-    """(session_id, shingle, first_ts, last_ts): a session's distinct shingles and its own time span."""
+    """(session_id, shingle, first_ts, last_ts): the distinct shingles of a session's redacted responses, read as one text.
+
+    A shingle may run over responses: each is read on from the last seven words before it, which
+    stand in at most seven responses, so no session's text is ever gathered.
+    """
     span = outputs.groupBy("session_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    s = outputs.select("session_id", F.explode(shingles(word_list(F.col("text")))).alias("shingle")).distinct()
+    said = outputs.select("session_id", "ts", word_list(redact_text(F.col("text"))).alias("words")).filter(F.size("words") > 0)
+    reach = SHINGLE_WORDS - 1
+    tail = F.slice("words", -F.least(F.size("words"), F.lit(reach)), F.lit(reach))
+    before = F.flatten(F.collect_list("tail").over(Window.partitionBy("session_id").orderBy("ts", "words").rowsBetween(-reach, -1)))
+    read = said.withColumn("tail", tail).withColumn("before", before)
+    on = F.when(F.size("before") > 0, F.slice("before", -F.least(F.size("before"), F.lit(reach)), F.lit(reach))).otherwise(F.array().cast("array<string>"))
+    s = read.select("session_id", F.explode(shingles(F.concat(on, "words"))).alias("shingle")).distinct()
     return s.join(span, "session_id")
 
 
 def detect_relays(messages: DataFrame, outputs: DataFrame, threshold: float = RELAY_THRESHOLD, days: int = RELAY_DAYS) -> DataFrame:
     """Messages whose text mostly comes out of an earlier session: one row per message, the strongest source.
 
-    messages: (message_id, session_id, ts, text). Containment is an equi-join on shingles; only
-    messages long enough take part, and the source must have ended before and within the days.
+    messages: (message_id, session_id, ts, text), outputs: (session_id, ts, text); both are redacted
+    before anything is hashed. Only a session's first prompts that are long enough take part, and the
+    source must have ended before and within the days. A source that holds the threshold's share of a
+    message's shingles holds at least one of its rarest n - ceil(threshold * n) + 1, so only these
+    look for candidates, and boilerplate that many sessions share brings none together by itself;
+    candidates are then counted in full.
     """
     words = word_list(F.col("text"))
-    m = messages.select("message_id", F.col("session_id").alias("to_session"), "ts", F.size(words).alias("words"), shingles(words).alias("sh")).withColumn("n", F.size("sh")).filter(F.col("n") >= MIN_SHINGLES)
-    left = m.select("message_id", "to_session", "ts", F.explode("sh").alias("shingle"))
-    right = output_shingles(outputs).select(F.col("session_id").alias("from_session"), "shingle", "last_ts")
+    first = prompt_messages(messages)
+    m = stored(first.select("message_id", F.col("session_id").alias("to_session"), "ts", F.size(words).alias("words"), shingles(words).alias("sh")).withColumn("n", F.size("sh")).filter(F.col("n") >= MIN_SHINGLES))
+    right = stored(output_shingles(outputs).select(F.col("session_id").alias("from_session"), "shingle", "last_ts"))
+    often = right.groupBy("shingle").agg(F.count("*").alias("often"))
+    rare = Window.partitionBy("message_id").orderBy("often", "shingle")
+    # Shingles that no session put out come first in the count, though they find nothing.
+    probe = m.select("message_id", "to_session", "ts", "n", F.explode("sh").alias("shingle")).join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    probe = probe.withColumn("place", F.row_number().over(rare)).filter((F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1) & (F.col("often") > 0))
     age = (F.unix_micros("ts") - F.unix_micros("last_ts")) / 86_400_000_000
-    hits = left.join(right, "shingle").filter((F.col("from_session") != F.col("to_session")) & (age > 0) & (age <= days))
-    found = hits.groupBy("message_id", "from_session", "last_ts").agg(F.count("*").alias("hit"))
+    pairs = probe.join(right, "shingle").filter((F.col("from_session") != F.col("to_session")) & (age > 0) & (age <= days)).select("message_id", "from_session", "last_ts").distinct()
+    full = pairs.join(m.select("message_id", F.explode("sh").alias("shingle")), "message_id").join(right.select("from_session", "shingle"), ["from_session", "shingle"])
+    found = full.groupBy("message_id", "from_session", "last_ts").agg(F.count("*").alias("hit"))
     scored = found.join(m.drop("sh"), "message_id").withColumn("overlap", F.col("hit") / F.col("n")).filter(F.col("overlap") >= threshold)
     w = Window.partitionBy("message_id").orderBy(F.desc("overlap"), "last_ts", "from_session")
     best = scored.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
@@ -79,8 +104,17 @@ def detect_relays(messages: DataFrame, outputs: DataFrame, threshold: float = RE
     return best.select("message_id", "to_session", "from_session", "overlap", "words", gap.alias("gap_days"))
 
 
+def relay_cost(relays: DataFrame, turns: DataFrame) -> DataFrame:
+    """to_session, words, usd of each relay: its words as tokens, at the receiving conversation's own price of input."""
+    t = with_sums(turns)
+    input_only = price_turns(turns.withColumns({c: F.lit(0).cast("long") for c in ("output_tokens", "cache_read_tokens", "cache_creation_tokens")})).select("source", "event_key", F.col("usd").alias("input_usd"))
+    own = t.join(input_only, ["source", "event_key"]).groupBy(F.col("root").alias("to_session")).agg(F.sum("input_tokens").alias("input"), F.sum("input_usd").alias("cost"), F.max("estimated").alias("estimated"))
+    j = relays.join(own.filter("input > 0"), "to_session")
+    return j.select("to_session", "from_session", "words", (F.least(F.col("input"), F.col("words") * TOKENS_PER_WORD) * F.col("cost") / F.col("input")).alias("relay_usd"), "estimated")
+
+
 def relay_summary(relays: DataFrame, messages: DataFrame) -> DataFrame:
     """Pairs, words relayed, receiving sessions, and their share of the words of all prompts."""
-    all_ = messages.agg(F.sum(F.size(word_list(F.col("text")))).alias("prompt_words"))
+    all_ = messages.agg(F.sum(F.size(word_list(redact_text(F.col("text"))))).alias("prompt_words"))
     s = relays.agg(F.count("*").alias("pairs"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.countDistinct("to_session").alias("sessions"))
     return s.crossJoin(F.broadcast(all_)).withColumn("share", F.when(F.col("prompt_words") > 0, F.col("words") / F.col("prompt_words")).otherwise(0.0))  # one row each

@@ -116,3 +116,72 @@ def skill_usage(skills: DataFrame, now: Column, days: int) -> DataFrame:
     s = skills.groupBy("skill").agg(F.sum("turns").alias("turns"), F.countDistinct("session_id").alias("sessions"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
     age = (F.unix_micros(now) - F.unix_micros("last_ts")) / 86_400_000_000
     return s.select("skill", "turns", "sessions", F.to_date("first_ts").cast("string").alias("first_day"), F.to_date("last_ts").cast("string").alias("last_day"), (age > days).alias("dormant"))
+
+
+STALE_DAYS = 3
+
+
+def export_identity(exports: DataFrame, keyring: DataFrame) -> DataFrame:
+    """exports: (user, host, fingerprint or null); keyring: (user, fingerprint). Adds identity, unsigned and name.
+
+    A signed export is its key, and bears the name that the keyring has for it.
+    """
+    known = keyring.groupBy("fingerprint").agg(F.min("user").alias("known"))
+    j = exports.join(known, "fingerprint", "left")
+    return j.select(*exports.columns, F.coalesce("fingerprint", F.concat("user", F.lit("@"), "host")).alias("identity"), F.col("fingerprint").isNull().alias("unsigned"), F.coalesce("known", "user").alias("name"))
+
+
+def keyring_check(exports: DataFrame, keyring: DataFrame) -> DataFrame:
+    """user, fingerprint, verdict: ok, mismatch with the pinned key, or not enrolled. Signed exports only."""
+    pinned = keyring.select("user", F.col("fingerprint").alias("pinned"))
+    j = exports.filter("fingerprint is not null").select("user", "fingerprint").join(pinned, "user", "left")
+    return j.select("user", "fingerprint", F.when(F.col("pinned").isNull(), "not-enrolled").when(F.col("pinned") != F.col("fingerprint"), "mismatch").otherwise("ok").alias("verdict"))
+
+
+def stale_members(coverage: DataFrame) -> DataFrame:
+    """coverage: (name, source, stale_days). Sources without turns for three days or more, worst first."""
+    return coverage.filter(F.col("stale_days") >= STALE_DAYS).select("name", "source", "stale_days").orderBy(F.desc("stale_days"), "name", "source")
+
+
+def usable_categories(categories: DataFrame) -> DataFrame:
+    """Member categories (identity, name, unsigned, id, terms, sessions, projects, tokens, cost_usd, estimated, duplicate) that hold all they need.
+
+    item is a name of its own for each; equal ids of one member are numbered.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    ok = F.col("id").isNotNull() & (F.size("terms") > 0) & F.forall("terms", lambda t: t.isNotNull() & (t != "")) & finite("sessions") & finite("tokens") & finite("cost_usd")
+    w = Window.partitionBy("identity", "id").orderBy("cost_usd", "sessions", "tokens")
+    n = F.row_number().over(w)
+    return categories.filter(F.coalesce(ok, F.lit(False))).withColumn("item", F.concat("identity", F.lit(":"), "id", F.when(n > 1, F.concat(F.lit("#"), n)).otherwise("")))
+
+
+def merge_categories(usable: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Categories of several members that mean the same work; score is sessions times members."""
+    from .clusters import cluster_terms
+
+    m = usable.join(clusters, "item")
+    users = F.when(F.col("unsigned"), F.concat("name", F.lit(" (unsigned)"))).otherwise(F.col("name"))
+    c = m.groupBy("cluster").agg(
+        F.countDistinct("identity").alias("members"),
+        F.countDistinct(users).alias("users"),
+        _sum("sessions").alias("sessions"),
+        _sum("tokens").alias("tokens"),
+        _sum("cost_usd").alias("cost_usd"),
+        F.max("estimated").alias("estimated"),
+    )
+    c = c.withColumns({"cross_user": F.col("members") >= 2, "score": F.col("sessions") * F.col("members")})
+    return c.join(cluster_terms(usable.select("item", "terms"), clusters), "cluster")
+
+
+def cross_user_duplicates(merged: DataFrame, min_cluster: int = 2) -> DataFrame:
+    return merged.filter(F.col("cross_user") & (F.col("sessions") >= max(2, min_cluster)))
+
+
+def org_skill_candidates(merged: DataFrame, min_cluster: int = 2) -> DataFrame:
+    return merged.filter(F.col("sessions") >= max(2, min_cluster))
+
+
+def within_member_dups(usable: DataFrame) -> DataFrame:
+    """Cost of work that members' own exports call duplicate, how many of them, and whether any export is unsigned."""
+    m = usable.groupBy("identity").agg(_sum("cost_usd", F.col("duplicate")).alias("dup"), F.max("unsigned").alias("unsigned"))
+    return m.agg(F.count("*").alias("with_categories"), _sum("dup").alias("dup_cost_usd"), F.count(F.when(F.col("dup") > 0, 1)).alias("dup_members"), F.coalesce(F.max("unsigned"), F.lit(False)).alias("any_unsigned"))

@@ -79,7 +79,6 @@ SELECT label, prev, cur, CASE WHEN (fmt = 'pct' AND abs(cur - prev) < 0.0005) OR
 
 
 add("trend_rows", lambda t: Tr.trend_rows(t, pr_sessions(t), now(), HALF), _trend_sql())
-add("stream_daily_usage", lambda t: Tr.stream_daily(t), f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, source, project, count(*) AS turns, {total('spend')} AS tokens FROM t GROUP BY 1, 2, 3")
 
 # --- rates and rules, per project ---
 
@@ -118,7 +117,7 @@ RULE_SQL = [
     ("high-rework", "rework_ratio", "0.1", "rework", "rework_ratio > 0.2", "(rework_ratio - 0.1) * spend_tokens * rate_spend"),
     ("low-think-code", "think_to_code", "NULL", None, "think_to_code < 0.15 AND coding_activity > 50000", "NULL"),
     ("premium-model-overuse", "premium_share", "0.5", "routing", "premium_share > 0.9 AND models > 1", f"(premium_share - 0.5) * spend_tokens * {DEAR}"),
-    ("context-bloat", "bloat_share", "NULL", "caching", "bloat_share >= 0.3 AND trend_sessions >= 3", "NULL"),
+    ("context-bloat", "bloat_share", "NULL", "caching", "bloat_share >= 0.3 AND trend_sessions >= 3", "avoidable_tokens * (rate_input - rate_cache_read)"),
     ("cold-restarts", "cold_share", "0.05", "caching", "cold_share >= 0.2 AND main_fresh_tokens > 100000", "(cold_share - 0.05) * main_fresh_tokens * (rate_input - rate_cache_read)"),
     ("premium-misroute", "premium_waste_share", "NULL", "routing", "premium_waste_share >= 0.3 AND spend_tokens > 100000", f"premium_waste_tokens * {DEAR}"),
     ("tool-retry-loops", "retry_share", "NULL", "rework", "retry_share >= 0.05", "retry_tokens * rate_spend"),
@@ -126,10 +125,15 @@ RULE_SQL = [
     ("context-floor-creep", "floor_share", "0.35", "caching", "floor_sessions >= 5 AND floor_share >= 0.5", "(floor_share - 0.35) * floor_base_tokens * rate_cache_read"),
     ("abandoned-work", "abandoned_share", "0.1", "outcomes", "abandoned_streams >= 2 AND abandoned_share >= 0.25", "(abandoned_share - 0.1) * spend_tokens * rate_spend"),
 ]
+AVOID = """, bs AS (
+  SELECT project, session_id, max(n_turns) AS n, bool_or(is_sidechain) AS side, sum(ctx) FILTER (idx <= n_turns // 2) AS e, sum(ctx) FILTER (idx > n_turns - n_turns // 2) AS l,
+    sum(fresh) FILTER (idx <= n_turns // 2) AS ef, sum(fresh) FILTER (idx > n_turns - n_turns // 2) AS lf FROM a GROUP BY 1, 2),
+av AS (SELECT project, CAST(coalesce(sum(CASE WHEN NOT side AND n >= 8 AND e > 0 AND l / e::DOUBLE >= 2 THEN greatest(0, lf - ef) END), 0) AS BIGINT) AS avoidable_tokens FROM bs GROUP BY 1)
+"""
 # Exact ratios: the metrics text without its rounding.
 RATED = METRICS.replace(", 6) AS think_to_code", ", 15) AS think_to_code").replace("THEN (", "THEN 1.0 * (").replace("ELSE 0 END, 6)", "ELSE 0 END, 15)")
 _at = RATED.rindex("\nSELECT base.*")
-RATED = RATED[:_at] + ", mm AS (" + RATED[_at:] + ")" + RATES + ", rated AS (SELECT mm.*, rr.* EXCLUDE (project) FROM mm JOIN rr USING (project)), fi AS (" + " UNION ALL ".join(
+RATED = RATED[:_at] + ", mm AS (" + RATED[_at:] + ")" + RATES + AVOID + ", rated AS (SELECT mm.*, av.avoidable_tokens, rr.* EXCLUDE (project) FROM mm JOIN av USING (project) JOIN rr USING (project)), fi AS (" + " UNION ALL ".join(
     f"SELECT project, '{k}' AS rule, {repr(f) if f else 'NULL'} AS family, '{m}' AS metric, CAST({m} AS DOUBLE) AS value, CAST({g} AS DOUBLE) AS target, CAST({s} AS DOUBLE) AS savings_usd FROM rated WHERE {w}" for k, m, g, f, w, s in RULE_SQL
 ) + ")\n"
 add("findings", lambda t: R.findings(rated(t), ("project",)), RATED + "SELECT project, rule, family, metric, round(value, 6) AS value, target, round(savings_usd, 8) AS savings_usd FROM fi")

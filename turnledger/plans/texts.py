@@ -59,17 +59,24 @@ add(
     PROMPTS + "SELECT id AS item, array_to_string(terms, ' ') AS terms, array_to_string(terms[1:3], ' ') AS label FROM fp",
     prompts,
 )
-add("fnv1a_hex", lambda d: d.select(X.fnv1a_hex(F.col("source")).alias("h"), "source").distinct(), None)
+add(
+    "fnv1a_hex",
+    lambda d: d.select(X.fnv1a_hex(F.col("source")).alias("h"), "source").distinct(),
+    """WITH RECURSIVE src AS (SELECT DISTINCT source FROM documents),
+    f AS (SELECT source, 0 AS i, 2166136261::HUGEINT AS h FROM src UNION ALL SELECT source, i + 1, xor(h, ascii(source[i + 1])::HUGEINT) * 16777619 % 4294967296 FROM f WHERE i < length(source))
+    SELECT lpad(lower(to_hex(h::BIGINT)), 8, '0') AS h, source FROM f WHERE i = length(source) OR (source IS NULL AND i = 0)""",
+)
 add(
     "word_list",
     lambda d: d.select("doc_id", F.size(X.word_list(F.col("text"))).cast("long").alias("words")),
     r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) AS words FROM documents",
 )
-W = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS ws FROM documents),
+RAW = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 7], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1)
 """
-add("shingles", lambda d: d.select("doc_id", F.size(X.shingles(X.word_list(F.col("text")))).cast("long").alias("n")).filter("n > 0"), f"WITH {W} SELECT * FROM n")
+W = RAW.replace("lower(text)", f"lower({_redact('text')})")
+add("shingles", lambda d: d.select("doc_id", F.size(X.shingles(X.word_list(F.col("text")))).cast("long").alias("n")).filter("n > 0"), f"WITH {RAW} SELECT * FROM n")
 add(
     "output_shingles",
     lambda d: S.output_shingles(d).groupBy("session_id").agg(F.count("*").alias("n"), F.max("last_ts").alias("last_ts")),
@@ -96,10 +103,29 @@ add(
     lambda d: S.relay_summary(relays(d), d),
     f"WITH {RELAYS} SELECT count(*) AS pairs, sum(words)::BIGINT AS words, count(DISTINCT m) AS sessions, (SELECT sum(len(ws))::BIGINT FROM w) AS prompt_words, round(sum(words) / (SELECT sum(len(ws)) FROM w)::DOUBLE, 6) AS share FROM rel",
 )
+
+
+def document_turns(d):
+    """One turn per document: its length as input, the model by its number."""
+    zero = F.lit(0).cast("long")
+    model = F.when(F.col("doc_id") % 2 == 0, "claude-opus-4-7").otherwise("claude-haiku-4-5")
+    return d.select(
+        "source", F.col("doc_id").cast("string").alias("event_key"), "session_id", F.lit("p").alias("project"), "ts", model.alias("model"), (F.length("text").cast("long") % 2000).alias("input_tokens"), zero.alias("output_tokens"), zero.alias("cache_read_tokens"),
+        zero.alias("cache_creation_tokens"), zero.alias("cache_creation_1h_tokens"), zero.alias("thinking_tokens"), F.array().cast("array<string>").alias("tools"), F.lit(None).cast("map<string,bigint>").alias("tool_result_chars"), F.lit(False).alias("is_error"),
+        F.lit(False).alias("is_sidechain"), F.lit(None).cast("string").alias("parent_session_id"), F.lit("coding").alias("activity"),
+    )
+
+
+add(
+    "relay_cost",
+    lambda d: S.relay_cost(relays(d), document_turns(d)).select("to_session", "relay_usd"),
+    f"""WITH {RELAYS}, i AS (SELECT doc_id, length(text) % 2000 AS input, CASE WHEN doc_id % 2 = 0 THEN 5.0 ELSE 1.0 END::DOUBLE AS price FROM documents)
+    SELECT 'd' || m AS to_session, round(least(input, words * 1.3::DOUBLE) * (input * price / 1e6) / input, 8) AS relay_usd FROM rel JOIN i ON i.doc_id = m WHERE input > 0""",
+)
 add(
     "prompt_messages",
     lambda d: S.prompt_messages(d.union(d)).select("doc_id", F.length("text").cast("long").alias("n_chars")),
-    "SELECT doc_id, length(text) AS n_chars FROM documents WHERE trim(text) <> ''",
+    f"SELECT doc_id, length({_redact('text')}) AS n_chars FROM documents WHERE trim(text) <> ''",
 )
 
 

@@ -1,0 +1 @@
+"""Readers of agents' logs and of stored turns."""
