@@ -18,22 +18,23 @@ def turn_files(turns: DataFrame) -> str:
     return path
 
 
-def stream_collect(spark: SparkSession, source: str, schema, table: str, checkpoint: str, late: str = LATE) -> None:
-    """Appends the turns of new files in source to table, each (source, event_key) once.
+def stream_collect(spark: SparkSession, source: str, schema, table: str, checkpoint: str) -> None:
+    """Appends the turns of new files in source to table, each (source, event_key) once, however late they come.
 
-    Repeats inside the watermark are dropped by the stream's state; those of earlier runs, or later
-    than the watermark, by an anti-join of each batch with what the table holds. A batch that is run
-    again after a failure overwrites its own folder.
+    Repeats are dropped by an anti-join of each batch with what the table holds: a watermark would
+    drop late turns that are no repeats. A batch that is run again after a failure overwrites its
+    own folder, whose turns it does not count as held.
     """
-    stream = spark.readStream.schema(schema).parquet(source).withWatermark("ts", late).dropDuplicatesWithinWatermark(["source", "event_key"])
 
     def add(batch: DataFrame, number: int) -> None:
         own = f"{table}/batch={number}"
-        old = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(table) if number or _has_rows(spark, table, schema) else None
-        if old is not None:
-            old = old.filter(~F.input_file_name().contains(f"batch={number}/"))
+        old = None
+        if _has_rows(spark, table, schema):
+            held = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(table)
+            old = held.filter(~F.col("_metadata.file_path").contains(f"/batch={number}/"))
         dedup_turns(batch, old).write.mode("overwrite").parquet(own)
 
+    stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
