@@ -20,3 +20,19 @@ def test_stages_hand_on_documents(spark):
     packed = C.run(spark, sf)
     assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert packed.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
+
+
+def test_awkward_and_empty_documents(spark, awkward, nothing, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns go through all stages; an empty table gives no rows."""
+    awkward.unionByName(awkward).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    docs = table(spark, str(tmp_path / "a"), "documents")
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "a"))
+        assert docs.columns == awkward.columns, name
+        docs = docs.persist()
+        if name == "near_dedup":  # of the equal texts 1, 2, 2, twice, one row is left
+            assert docs.filter("doc_id in (1, 2)").count() == 1
+    packed = C.run(spark, str(tmp_path / "a")).collect()
+    assert packed and all(r.length <= 2048 for r in packed)
+    nothing.write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    assert C.run(spark, str(tmp_path / "e")).count() == 0
