@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core, intake, report, tasks, texts
+from . import core, formats, intake, report, tasks, texts
 
-MODULES = (core, intake, report, texts, tasks)
+MODULES = (core, intake, formats, report, texts, tasks)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
