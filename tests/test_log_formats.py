@@ -74,3 +74,36 @@ def test_steps_between_generations(spark):
     steps = spark.createDataFrame([("c", i, t, st, None, e) for i, t, st, e in s], "conversation string, idx long, step_type int, status int, command string, error string")
     got = {r.event_key: (r.tools, r.is_error) for r in D.antigravity_turns(generations, steps).collect()}
     assert got == {"c:0": (["run_command", "step_99"], True), "c:2": ([], False), "c:3": (["update_plan"], True), "d:0": ([], False)}
+
+
+def test_one_bad_line_among_good_ones(spark):
+    """A line with a time that is none, or with no JSON, costs itself only."""
+    from turnledger.sources import claude as C
+    from turnledger.sources import codex as X
+
+    def turn(key, time, **more):
+        return json.dumps({"type": "assistant", "uuid": key, "sessionId": "s", "timestamp": time, "message": {"model": "m", "usage": {"input_tokens": 1}, "content": [{"type": "tool_use", "id": f"c{key}", "name": "Bash", "input": {}}]}} | more)
+
+    said = [{"type": "text", "text": "the user"}, {"type": "text", "text": "declined"}]  # the phrase runs over two parts
+    keys = [{"type": "text", "text": "x", "note": "user declined"}]  # a key that is no text
+    result = lambda key, content: json.dumps({"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": f"c{key}", "is_error": True, "content": content}]}})
+    lines = [turn("a", "2026-01-01T00:00:00Z"), result("a", said), turn("b", "not a time"), turn("c", ""), "{no json", "", "null", "[1]", turn("d", "2026-01-01T00:00:01.5Z"), result("d", keys)]
+    df = spark.createDataFrame([("/x/s.jsonl", i, v) for i, v in enumerate(lines)], "file string, ord long, value string")
+    assert {r.event_key: r.is_error for r in C.claude_turns(df).collect()} == {"a": False, "d": True}
+
+    def tick(time, total):
+        return json.dumps({"type": "event_msg", "timestamp": time, "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": total}}}})
+
+    lines = [tick("2026-01-01T00:00:00Z", 5), tick("bad", 9), "{no json", tick("2026-01-01T00:00:01Z", 20)]
+    df = spark.createDataFrame([("/x/s.jsonl", i, v) for i, v in enumerate(lines)], "file string, ord long, value string")
+    assert sorted((r.event_key, r.input_tokens) for r in X.codex_turns(df).collect()) == [("s:1", 5), ("s:3", 11)]
+
+    one = {"type": "gemini", "id": "m1", "tokens": {"input": 5}, "timestamp": "2026-01-01T00:00:00Z"}
+    chats = spark.createDataFrame([("/a/chats/x.json", json.dumps({"messages": [one, one | {"id": "m2", "timestamp": "bad"}]})), ("/a/chats/y.json", "{no json")], "file string, value string")
+    assert H.gemini_turns(chats, spark.createDataFrame([], "hash string, project string")).count() == 2
+    bad = {"requests": [{"message": {"text": "hello"}, "timestamp": "bad", "response": []}, {"message": {"text": "hello"}, "response": []}]}
+    chats = spark.createDataFrame([("/w/chatSessions/x.json", json.dumps(bad)), ("/w/chatSessions/y.json", "{no json")], "file string, value string")
+    assert H.copilot_turns(chats, spark.createDataFrame([], "workspace string, folder string")).count() <= 2
+    items = [("composerData:c", "{}"), ("bubbleId:c:1", json.dumps({"type": 2, "createdAt": "bad", "tokenCount": {"inputTokens": 1}})), ("bubbleId:c:2", "{no json"), ("bubbleId:c:3", json.dumps({"type": 2, "createdAt": "2026-01-01T00:00:00Z", "tokenCount": {"inputTokens": 2}}))]
+    got = D.cursor_turns(spark.createDataFrame(items, "key string, value string"), spark.createDataFrame([], "composer string, project string")).collect()
+    assert sorted(r.input_tokens for r in got) == [1, 2]

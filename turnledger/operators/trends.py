@@ -33,12 +33,12 @@ ROWS = [
 
 def split_windows(turns: DataFrame, now: Column, days: int) -> DataFrame:
     """Adds window: current for the last days, previous for the days before; older turns are dropped."""
-    age = (F.unix_micros(now) - F.unix_micros("ts")) / 86_400_000_000
-    return turns.withColumn("window", F.when(age <= days, "current").when(age <= 2 * days, "previous")).filter("window is not null")
+    back = lambda n: now - F.make_dt_interval(F.lit(n))  # noqa: E731  a comparison of ts alone reaches the scan
+    return turns.filter(F.col("ts") >= back(2 * days)).withColumn("window", F.when(F.col("ts") >= back(days), "current").otherwise("previous"))
 
 
 def filter_window(turns: DataFrame, now: Column, days: int) -> DataFrame:
-    return split_windows(turns, now, days).filter("window = 'current'").drop("window")
+    return turns.filter(F.col("ts") >= now - F.make_dt_interval(F.lit(days)))
 
 
 def verdict(prev: Column, cur: Column, fmt: Column, good: Column) -> Column:

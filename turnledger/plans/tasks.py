@@ -257,9 +257,9 @@ def realized(t: DataFrame) -> DataFrame:
 add(
     "realized_savings",
     lambda t, p: realized(t),
-    RATED[: RATED.rindex(", fi AS (")] + f""" SELECT project, rule, rule AS metric, 0.1 AS gain, CASE WHEN usd > 0 THEN round(usd, 8) END AS realized_usd FROM (SELECT project, unnest([
-      {{'rule': 'cache_hit_ratio', 'usd': 0.1 * (cache_read_tokens + input_tokens + cache_creation_tokens) * (rate_input - rate_cache_read) * 30 / {DAYS}}}, {{'rule': 'rework_ratio', 'usd': 0.1 * spend_tokens * rate_spend * 30 / {DAYS}}},
-      {{'rule': 'cold_share', 'usd': 0.1 * main_fresh_tokens * (rate_input - rate_cache_read) * 30 / {DAYS}}}, {{'rule': 'think_to_code', 'usd': NULL}}], recursive := true) FROM rated)""",
+    RATED[: RATED.rindex(", fi AS (")] + f""" SELECT project, rule, rule AS metric, round(now - was, 6) * way AS gain, CASE WHEN usd > 0 THEN round(usd, 8) END AS realized_usd FROM (SELECT project, unnest([
+      {{'rule': 'cache_hit_ratio', 'now': cache_hit_ratio, 'was': cache_hit_ratio - 0.1::DOUBLE, 'way': 1, 'usd': 0.1 * (cache_read_tokens + input_tokens + cache_creation_tokens) * (rate_input - rate_cache_read) * 30 / {DAYS}}}, {{'rule': 'rework_ratio', 'now': rework_ratio, 'was': rework_ratio + 0.1::DOUBLE, 'way': -1, 'usd': 0.1 * spend_tokens * rate_spend * 30 / {DAYS}}},
+      {{'rule': 'cold_share', 'now': cold_share, 'was': cold_share + 0.1::DOUBLE, 'way': -1, 'usd': 0.1 * main_fresh_tokens * (rate_input - rate_cache_read) * 30 / {DAYS}}}, {{'rule': 'think_to_code', 'now': think_to_code, 'was': think_to_code - 0.1::DOUBLE, 'way': 1, 'usd': NULL}}], recursive := true) FROM rated)""",
 )
 
 # --- team ---

@@ -40,12 +40,18 @@ def result_chars(content: Column) -> Column:
     return F.coalesce(size, F.length(content).cast("long"), F.lit(0).cast("long"))
 
 
+def result_text(content: Column) -> Column:
+    """A result's text, or its parts' texts in a row."""
+    parts = F.when(content.startswith("["), F.from_json(content, "array<struct<text:string>>"))
+    return F.coalesce(F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), " "), content)
+
+
 def assistants(p: DataFrame) -> DataFrame:
-    """Lines that are turns: with usage and a key, and not all zero."""
+    """Lines that are turns: with usage, a key and a time, and not all zero."""
     u = F.col("message.usage")
     n = lambda name: F.coalesce(u[name], F.lit(0).cast("long"))
     some = (n("input_tokens") + n("output_tokens") != 0) | (n("cache_read_input_tokens") != 0) | (n("cache_creation_input_tokens") != 0)
-    return p.filter((F.col("type") == "assistant") & u.isNotNull() & F.col("uuid").isNotNull() & some)
+    return p.filter((F.col("type") == "assistant") & u.isNotNull() & F.col("uuid").isNotNull() & F.try_to_timestamp("timestamp").isNotNull() & some)
 
 
 def link_tool_results(p: DataFrame) -> DataFrame:
@@ -53,7 +59,7 @@ def link_tool_results(p: DataFrame) -> DataFrame:
     calls = assistants(p).select("file", "uuid", F.col("ord").alias("use_ord"), F.explode(_of("tool_use")).alias("b")).filter("b.id is not null and b.name is not null")
     calls = calls.select("file", F.col("b.id").alias("id"), "use_ord", F.struct("uuid", "b.name").alias("call"))
     results = p.filter("type = 'user'").select("file", "ord", F.posexplode(_of("tool_result")).alias("place", "b")).filter("b.tool_use_id is not null")
-    failed = F.coalesce(F.col("b.is_error"), F.lit(False)) & ~is_declination(F.col("b.content"))
+    failed = F.coalesce(F.col("b.is_error"), F.lit(False)) & ~is_declination(result_text(F.col("b.content")))
     results = results.select("file", "ord", "place", F.col("b.tool_use_id").alias("id"), failed.alias("failed"), result_chars(F.col("b.content")).alias("chars"))
     j = results.join(calls, ["file", "id"]).filter(F.col("use_ord") < F.col("ord"))
     latest = j.groupBy("file", "ord", "place").agg(F.max_by("call", "use_ord").alias("call"), F.first("failed").alias("failed"), F.first("chars").alias("chars"))
@@ -94,7 +100,7 @@ def claude_turns(lines: DataFrame) -> DataFrame:
         F.lit("claude-code").alias("source"),
         F.col("uuid").alias("event_key"),
         F.when(agent.isNotNull(), F.coalesce(F.nullif("agentId", F.lit("")), agent)).otherwise(session).alias("session_id"),
-        F.to_timestamp("timestamp").alias("ts"),
+        F.try_to_timestamp("timestamp").alias("ts"),
         F.coalesce("message.model", F.lit("unknown")).alias("model"),
         n(u["input_tokens"]).alias("input_tokens"),
         n(u["output_tokens"]).alias("output_tokens"),
