@@ -89,14 +89,16 @@ def test_one_bad_line_among_good_ones(spark):
     result = lambda key, content: json.dumps({"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": f"c{key}", "is_error": True, "content": content}]}})
     lines = [turn("a", "2026-01-01T00:00:00Z"), result("a", said), turn("b", "not a time"), turn("c", ""), "{no json", "", "null", "[1]", turn("d", "2026-01-01T00:00:01.5Z"), result("d", keys)]
     df = spark.createDataFrame([("/x/s.jsonl", i, v) for i, v in enumerate(lines)], "file string, ord long, value string")
-    assert {r.event_key: r.is_error for r in C.claude_turns(df).collect()} == {"a": False, "d": True}
+    got = {r.event_key: r for r in C.claude_turns(df).collect()}
+    assert {k: r.is_error for k, r in got.items()} == {"a": False, "b": False, "c": False, "d": True}
+    assert got["a"].ts.year == 2026 and got["b"].ts.year == got["c"].ts.year == 1970
 
     def tick(time, total):
         return json.dumps({"type": "event_msg", "timestamp": time, "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": total}}}})
 
     lines = [tick("2026-01-01T00:00:00Z", 5), tick("bad", 9), "{no json", tick("2026-01-01T00:00:01Z", 20)]
     df = spark.createDataFrame([("/x/s.jsonl", i, v) for i, v in enumerate(lines)], "file string, ord long, value string")
-    assert sorted((r.event_key, r.input_tokens) for r in X.codex_turns(df).collect()) == [("s:1", 5), ("s:3", 11)]
+    assert sorted((r.event_key, r.input_tokens) for r in X.codex_turns(df).collect()) == [("s:1", 5), ("s:2", 4), ("s:3", 11)]
 
     one = {"type": "gemini", "id": "m1", "tokens": {"input": 5}, "timestamp": "2026-01-01T00:00:00Z"}
     chats = spark.createDataFrame([("/a/chats/x.json", json.dumps({"messages": [one, one | {"id": "m2", "timestamp": "bad"}]})), ("/a/chats/y.json", "{no json")], "file string, value string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import small
 from .annotate import with_sums
 from .metrics import _sum, ratio
 
@@ -84,7 +85,7 @@ def merge_metrics(metrics: DataFrame, scope=()) -> DataFrame:
 
 def team_rollup(member_metrics: DataFrame, member_map: DataFrame, by: str) -> DataFrame:
     """merge_metrics() by team or discipline; members without a row in the map are unassigned."""
-    j = member_metrics.join(F.broadcast(member_map), "member", "left").withColumn(by, F.coalesce(by, F.lit("unassigned")))  # one row per member
+    j = member_metrics.join(small(member_map), "member", "left").withColumn(by, F.coalesce(by, F.lit("unassigned")))
     return merge_metrics(j, (by,))
 
 

@@ -301,10 +301,4 @@ add(
       (SELECT {total('returned')} FROM z WHERE tool LIKE 'mcp%') AS returned_tokens, (SELECT {total('carry')} FROM z WHERE tool LIKE 'mcp%') AS carry_tokens,
       {share('count(*) FILTER (is_error)', 'count(*)')} AS error_rate FROM o GROUP BY 1""",
 )
-add(
-    "server_set_difference",
-    lambda t: U.server_set_difference(t, t.select(F.explode(F.array(F.lit("docs"), F.lit("tickets"))).alias("server")).distinct().filter("server <> 'docs'")),
-    """SELECT 'tickets' AS server, 'unused' AS state UNION ALL
-    SELECT DISTINCT split_part(tool, '__', 2), 'undeclared' FROM (SELECT unnest(tools) AS tool FROM t) WHERE tool LIKE 'mcp#_#_%' ESCAPE '#'""",
-)
 add("tool_surface_totals", lambda t: U.tool_surface_totals(t), A + SIZES + f"SELECT count(*) AS calls, {total('returned')} AS returned_tokens, {total('carry')} AS carry_tokens, TRUE AS measured FROM z")

@@ -1,8 +1,8 @@
 """Turns from transcripts with one JSON object a line: assistant turns, the results of their tool calls, prompts.
 
-Lines that are no JSON, or lack what a turn needs, give nothing. Tool results are linked to the
-latest earlier call with their id in the same file, by a join; prompts are carried to the turns
-after them by a window.
+Lines that are no JSON, or lack what a turn needs, give nothing; a turn without a readable time is
+of 1970. Tool results are linked to the latest earlier call with their id in the same file, by a
+join; prompts are carried to the turns after them by a window.
 """
 
 from __future__ import annotations
@@ -47,11 +47,11 @@ def result_text(content: Column) -> Column:
 
 
 def assistants(p: DataFrame) -> DataFrame:
-    """Lines that are turns: with usage, a key and a time, and not all zero."""
+    """Lines that are turns: with usage and a key, and not all zero."""
     u = F.col("message.usage")
     n = lambda name: F.coalesce(u[name], F.lit(0).cast("long"))
     some = (n("input_tokens") + n("output_tokens") != 0) | (n("cache_read_input_tokens") != 0) | (n("cache_creation_input_tokens") != 0)
-    return p.filter((F.col("type") == "assistant") & u.isNotNull() & F.col("uuid").isNotNull() & F.try_to_timestamp("timestamp").isNotNull() & some)
+    return p.filter((F.col("type") == "assistant") & u.isNotNull() & F.col("uuid").isNotNull() & some)
 
 
 def link_tool_results(p: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def claude_turns(lines: DataFrame) -> DataFrame:
         F.lit("claude-code").alias("source"),
         F.col("uuid").alias("event_key"),
         F.when(agent.isNotNull(), F.coalesce(F.nullif("agentId", F.lit("")), agent)).otherwise(session).alias("session_id"),
-        F.try_to_timestamp("timestamp").alias("ts"),
+        F.coalesce(F.try_to_timestamp("timestamp"), F.timestamp_seconds(F.lit(0))).alias("ts"),
         F.coalesce("message.model", F.lit("unknown")).alias("model"),
         n(u["input_tokens"]).alias("input_tokens"),
         n(u["output_tokens"]).alias("output_tokens"),

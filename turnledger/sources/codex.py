@@ -2,7 +2,7 @@
 
 A turn is a tick of the counters, differenced from the tick before in its file; tools and
 commands called since then are its own. Lines that are no JSON give nothing; a tick without a
-readable time counts for the next difference, but is no turn.
+readable time is of 1970.
 """
 
 from __future__ import annotations
@@ -50,12 +50,12 @@ def codex_turns(lines: DataFrame) -> DataFrame:
     grown = lambda name: F.greatest(F.lit(0), n(name) - F.coalesce(F.lag(n(name)).over(last), F.lit(0)))
     turns = turns.withColumns({"d_in": grown("input_tokens"), "d_cached": grown("cached_input_tokens"), "d_out": grown("output_tokens"), "d_think": grown("reasoning_output_tokens")})
     session = F.coalesce("session", F.regexp_extract("file", r"([^/]+?)(?:\.jsonl)?$", 1))
-    out = turns.filter(F.try_to_timestamp("timestamp").isNotNull()).select(
+    out = turns.select(
         F.lit("codex").alias("source"),
         F.concat(session, F.lit(":"), F.col("turn") + 1).alias("event_key"),
         session.alias("session_id"),
         F.regexp_extract("cwd", r"([^/]+)/*$", 1).alias("project"),
-        F.try_to_timestamp("timestamp").alias("ts"),
+        F.coalesce(F.try_to_timestamp("timestamp"), F.timestamp_seconds(F.lit(0))).alias("ts"),
         F.coalesce("model", F.lit("unknown")).alias("model"),
         # The vendor counts cached tokens inside the input; a counter that goes back may leave less than nothing.
         (F.col("d_in") - F.col("d_cached")).alias("input_tokens"),

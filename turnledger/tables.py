@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own = ""
 
@@ -26,3 +27,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """df as a table, to be broadcast if its rows, counted first, are no more than most; else joined as any other."""
+    kept = stored(df)
+    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept
