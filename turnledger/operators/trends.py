@@ -78,11 +78,12 @@ def trend_comparable(turns: DataFrame, now: Column, days: int) -> DataFrame:
     return c.withColumn("comparable", F.col("previous_days") >= F.col("current_days") * WARN_RATIO)
 
 
-def source_coverage(turns: DataFrame, now: Column, days: int) -> DataFrame:
-    d = turns.select("source", F.to_date("ts").alias("day")).distinct()
-    d = d.withColumn("gap", F.datediff("day", F.lag("day").over(Window.partitionBy("source").orderBy("day"))) - 1)
-    c = d.groupBy("source").agg(F.count("*").alias("active_days"), F.min("day").alias("first"), F.max("day").alias("last"), F.greatest(F.coalesce(F.max("gap"), F.lit(0)), F.lit(0)).alias("largest_gap"))
+def source_coverage(turns: DataFrame, now: Column, days: int, scope=()) -> DataFrame:
+    d = turns.select(*scope, "source", F.to_date("ts").alias("day")).distinct()
+    d = d.withColumn("gap", F.datediff("day", F.lag("day").over(Window.partitionBy(*scope, "source").orderBy("day"))) - 1)
+    c = d.groupBy(*scope, "source").agg(F.count("*").alias("active_days"), F.min("day").alias("first"), F.max("day").alias("last"), F.greatest(F.coalesce(F.max("gap"), F.lit(0)), F.lit(0)).alias("largest_gap"))
     return c.select(
+        *scope,
         "source",
         "active_days",
         (F.col("active_days") / days if days > 0 else F.lit(0.0)).alias("ratio"),

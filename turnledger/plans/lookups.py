@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import exports as E
 from ..operators import surface as U
+from ..operators import team as Te
 from ..sources import lookups as L
-from ..tables import shared_dir
-from .core import rounded
-from .mapping import sql, turns
+from ..tables import shared_dir, stored
+from . import report
+from .core import rounded, total
+from .mapping import DAYS, NOW, now, pr_sessions, sql, turns
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -118,3 +121,72 @@ add(
     """SELECT 'tickets' AS server, 'unused' AS state UNION ALL SELECT 'wiki', 'unused' UNION ALL
     SELECT DISTINCT split_part(tool, '__', 2), 'undeclared' FROM (SELECT unnest(tools) AS tool FROM t) WHERE tool LIKE 'mcp#_#_%' ESCAPE '#'""",
 )
+
+
+# --- member exports ---
+
+
+def documents(t: DataFrame) -> DataFrame:
+    """(user, host, doc) of eight members."""
+    m = t.withColumn("user", F.concat(F.lit("m"), F.col("user_id") % 8)).withColumn("host", F.lit("host"))
+    return E.build_exports(m, pr_sessions(t), now(), DAYS)
+
+
+def exported(t: DataFrame) -> DataFrame:
+    """The members' documents written as a snapshot and read again."""
+    path = shared_dir(t.sparkSession)
+    E.write_export(documents(t), path, now())
+    return E.read_export(t.sparkSession, path)
+
+
+def export_parts(t: DataFrame) -> DataFrame:
+    """(user, part, name, a, b): what the documents hold, one row an entry."""
+    d = stored(E.parsed(stored(documents(t).select(F.col("user").alias("file"), F.col("doc").alias("value")))))
+    amount = lambda m: (F.col(f"{m}.events").alias("a"), F.col(f"{m}.spendTokens").alias("b"))
+    rows = d.select("user", F.lit("overall").alias("part"), F.concat("generatedAt", F.lit(" "), "days").alias("name"), *amount("overall"))
+    rows = rows.unionByName(d.select("user", F.explode("byProject").alias("name", "m")).select("user", F.lit("project").alias("part"), "name", *amount("m")))
+    return rows.unionByName(d.select("user", F.explode("coverage").alias("c")).select("user", F.lit("coverage").alias("part"), F.col("c.source").alias("name"), F.col("c.activeDays").alias("a"), F.col("c.staleDays").alias("b")))
+
+
+ME = ", me AS (SELECT 'm' || (user_id % 8) AS \"user\", user_id % 8 AS n, * FROM t)"
+add(
+    "build_export",
+    export_parts,
+    ME + f""" SELECT "user", 'overall' AS part, '{NOW.replace(" ", "T")}.000Z {DAYS}' AS name, count(*) AS a, {total('spend')} AS b FROM me GROUP BY 1
+    UNION ALL SELECT "user", 'project', project, count(*), {total('spend')} FROM me GROUP BY 1, project
+    UNION ALL SELECT "user", 'coverage', source, count(DISTINCT CAST(ts AS DATE)), greatest(0, date_diff('day', max(CAST(ts AS DATE)), DATE '{NOW[:10]}')) FROM me GROUP BY 1, source""",
+)
+add("write_export", lambda t: Te.merge_metrics(E.member_exports(exported(t))).select("members", "events", "spend_tokens", "cost_usd", "error_events", "cache_hit_ratio", "rework_ratio", "shipped_sessions"), None)
+ORACLE_SQL["write_export"] = report.ORACLE_SQL["merge_metrics"]
+
+
+def versions(t: DataFrame) -> DataFrame:
+    """The members' documents: as they are, of another version, broken, without overall, without a field of later versions, with an unknown one."""
+    d = stored(documents(t))
+    n, doc = F.substring("user", 2, 1).cast("int"), F.col("doc")
+    doc = (
+        F.when(n.isin(1, 5), F.regexp_replace(doc, r'"coldRestartBaseTokens":\d+,', ""))
+        .when(n == 2, F.replace(doc, F.lit('"version":1'), F.lit('"version":2')))
+        .when(n == 3, F.substring(doc, F.lit(1), F.length(doc) - 5))
+        .when(n == 6, F.replace(doc, F.lit('"overall"'), F.lit('"total"')))
+        .when(n == 7, F.replace(doc, F.lit('"version":1'), F.lit('"version":1,"later":{"x":[1]}')))
+        .otherwise(doc)
+    )
+    return files(d.select(F.lit("export").alias("kind"), F.col("user").alias("name"), doc.alias("value"))).select("file", "value")
+
+
+def read_versions(t: DataFrame) -> DataFrame:
+    docs = stored(versions(t))
+    rows = E.member_exports(docs).select("user", F.lit(None).cast("string").alias("reason"), F.lit(1).cast("long").alias("n"), "events", "main_fresh_tokens")
+    bad = E.export_rejects(docs).groupBy("reason").agg(F.count("*").alias("n"))
+    none = F.lit(None)
+    return rows.unionByName(bad.select(none.cast("string").alias("user"), "reason", "n", none.cast("long").alias("events"), none.cast("long").alias("main_fresh_tokens")))
+
+
+add(
+    "read_member_exports",
+    read_versions,
+    ME + f""" SELECT "user", CAST(NULL AS VARCHAR) AS reason, CAST(1 AS BIGINT) AS n, count(*) AS events, CASE WHEN n IN (1, 5) THEN {total('fresh')} ELSE {total('fresh', 'NOT is_sidechain')} END AS main_fresh_tokens FROM me WHERE n NOT IN (2, 3, 6) GROUP BY 1, me.n
+    UNION ALL SELECT NULL, reason, count(*), NULL, NULL FROM (
+      SELECT DISTINCT n, CASE n WHEN 2 THEN 'other version' WHEN 3 THEN 'no export' ELSE 'no overall' END AS reason FROM me WHERE n IN (2, 3, 6) UNION ALL SELECT 99, 'no export') GROUP BY reason""",
+)
