@@ -66,3 +66,19 @@ def test_bundles_parse_to_the_same_metrics(spark, tmp_path):
     total = lambda df: tuple(round(x, 6) if isinstance(x, float) else x for x in M.compute_metrics(df, pr_sessions(t).limit(0), now()).select(*columns).first())
     read = claude_turns(back).withColumns({"project": F.lit("project-1"), "project_raw": F.lit(None).cast("string")})
     assert total(read) == total(a)
+
+
+def test_the_payload_names_nothing(spark):
+    import json
+
+    from turnledger.operators.payload import aggregate_payload
+
+    t = turns(spark, SF)
+    t = t.withColumns({"git_branch": F.concat(F.lit("leak-"), "git_branch"), "session_id": F.concat(F.lit("leak-"), "session_id"), "parent_session_id": F.concat(F.lit("leak-"), "parent_session_id"), "agent_type": F.concat(F.lit("leak-"), "agent_type"), "tools": F.transform("tools", lambda x: F.when(x.startswith("mcp__"), "mcp__leak-server__search").when(x == "Bash", "mcp__leak-server__shell").otherwise(x))})
+    doc = aggregate_payload(t, pr_sessions(t), now(), 30).first().doc
+    d = json.loads(doc)
+    assert "leak" not in doc
+    assert d["overall"]["turns"] == t.count() and len(d["projects"]) <= 10 and len(d["expensiveSessions"]) == 8 and d["fanOutSessions"] and d["toolErrorRates"] and d["ruleBasedFindings"]
+    assert {r.model for r in t.select("model").distinct().collect()} == set(d["overall"]["models"])
+    nothing = json.loads(aggregate_payload(t.limit(0), pr_sessions(t), now(), 30).first().doc)
+    assert nothing["overall"]["turns"] == 0 and nothing["projects"] == []

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core, formats, intake, lookups, report, tasks, texts
+from . import core, formats, intake, lookups, report, sharing, tasks, texts
 
-MODULES = (core, intake, formats, report, texts, tasks, lookups)
+MODULES = (core, intake, formats, report, texts, tasks, lookups, sharing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
