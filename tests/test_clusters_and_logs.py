@@ -9,6 +9,7 @@ from collections import Counter
 
 import pytest
 
+from turnledger.operators import clusters
 from turnledger.operators import project_family as P
 from turnledger.operators.clusters import cluster_items
 from turnledger.operators.state import resolve_alias_chains
@@ -48,8 +49,10 @@ def by_force(items, tau, cap):
     return {frozenset(g) for g in groups.values()}
 
 
-@pytest.mark.parametrize("cap", [4, 50])
-def test_clusters_equal_the_plain_greedy_merge(spark, cap):
+@pytest.mark.parametrize("cap, finish", [(3, 0), (5, 0), (10, 0), (50, 0), (4, 20), (50, 1 << 16)])
+def test_clusters_equal_the_plain_greedy_merge(spark, monkeypatch, cap, finish):
+    """In rounds to the end, in rounds and then in order, and all in order."""
+    monkeypatch.setattr(clusters.merge_rounds, "__defaults__", (finish,))
     rng = random.Random(cap)
     words = [f"w{i}" for i in range(14)]
     items = [(f"i{i:03}", rng.sample(words, rng.randrange(0, 5)) if rng.random() > 0.2 else ["w1", "w2"]) for i in range(60)]

@@ -4,6 +4,13 @@ Items are merged along their links, most similar first, as long as a cluster sta
 cap. Merges never cross connected components, so only components above the cap need the links
 in order; items with equal terms are one node (a full one at the cap), so no group of equal
 items is expanded into pairs.
+
+Links in order, without an order: sizes only grow, so a link whose two clusters don't fit
+together never will, and is struck out. A link that is the best open one of both its clusters
+would meet just these two clusters if all links were taken one by one, as every better link of
+theirs is settled; so all such links merge at once. Rounds of this give the same clusters as the
+one-by-one merge, and no component lies in one task. Once few links are left (``FINISH``, counted
+first) they are settled one by one.
 """
 
 from __future__ import annotations
@@ -17,6 +24,8 @@ from ..tables import stored
 from .similarity import SIMILAR, similar_sessions, term_idf
 
 CAP = 50
+#: Open links that one task may settle in order.
+FINISH = 1 << 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,6 +60,49 @@ def merge_in_order(nodes: pd.DataFrame, links: pd.DataFrame, cap: int) -> dict:
     return {n: top(n) for n in parent}
 
 
+def merge_rounds(nodes: DataFrame, links: DataFrame, cap: int, finish: int = FINISH) -> DataFrame:
+    """(node, top): the cluster of each node. nodes: (node, size); links: (a, b, similarity)."""
+    labels = stored(nodes.select("node", F.col("node").alias("top"), "size"))
+    open_ = links
+    while True:
+        sizes = labels.groupBy("top").agg(F.sum("size").alias("total"))
+        end = lambda side, name: labels.select(F.col("node").alias(side), F.col("top").alias(name)).join(sizes.select(F.col("top").alias(name), F.col("total").alias(f"total_{name}")), name)  # noqa: E731, B023
+        e = open_.join(end("a", "x"), "a").join(end("b", "y"), "b").filter((F.col("x") != F.col("y")) & (F.col("total_x") + F.col("total_y") <= cap))
+        # Of the links between two clusters only the best can matter.
+        rank = F.struct((-F.col("similarity")).alias("s"), "a", "b")
+        pairs = e.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(rank).alias("rank"))
+        pairs = stored(pairs)
+        left = pairs.count()
+        if not left:
+            return labels.select("node", "top")
+        if left <= finish:
+            moves = _in_order(labels, pairs, cap)
+        else:
+            best = pairs.select(F.col("x").alias("top"), "rank").union(pairs.select("y", "rank")).groupBy("top").agg(F.min("rank").alias("best"))
+            mine = lambda name: best.select(F.col("top").alias(name), F.col("best").alias(f"best_{name}"))  # noqa: E731, B023
+            both = pairs.join(mine("x"), "x").join(mine("y"), "y").filter((F.col("rank") == F.col("best_x")) & (F.col("rank") == F.col("best_y")))
+            moves = both.select(F.col("y").alias("top"), F.col("x").alias("to"))
+        labels = stored(labels.join(moves, "top", "left").select("node", F.coalesce("to", "top").alias("top"), "size"))
+        if left <= finish:
+            return labels.select("node", "top")
+        open_ = pairs.select("rank.a", "rank.b", (-F.col("rank.s")).alias("similarity"))
+
+
+def _in_order(labels: DataFrame, pairs: DataFrame, cap: int) -> DataFrame:
+    """(top, to): where clusters go when the pairs (x, y, rank), which are few, are taken one by one."""
+    touched = pairs.select(F.col("x").alias("top")).union(pairs.select("y")).distinct()
+    nodes = labels.join(touched, "top", "left_semi").groupBy("top").agg(F.sum("size").alias("size"))
+    none = F.lit(None).cast("string")
+    rows = nodes.select(F.col("top").alias("node"), "size", none.alias("a"), none.alias("b"), F.lit(None).cast("double").alias("similarity"), none.alias("place_a"), none.alias("place_b"))
+    rows = rows.unionByName(pairs.select(none.alias("node"), F.lit(0).cast("long").alias("size"), F.col("x").alias("a"), F.col("y").alias("b"), (-F.col("rank.s")).alias("similarity"), F.col("rank.a").alias("place_a"), F.col("rank.b").alias("place_b")))
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = merge_in_order(pdf[pdf["node"].notna()].sort_values("node"), pdf[pdf["a"].notna()], cap)
+        return pd.DataFrame({"top": list(found), "to": list(found.values())})
+
+    return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(greedy, "top string, to string")
+
+
 def cluster_items(items: DataFrame, threshold: float = SIMILAR, cap: int | None = CAP) -> DataFrame:
     """(item, cluster) over rows (item, terms), cluster being its smallest item; an item without terms is alone.
 
@@ -75,16 +127,8 @@ def cluster_items(items: DataFrame, threshold: float = SIMILAR, cap: int | None
         sized = linked.groupBy("label").agg(F.sum("size").alias("total"))
         small = linked.join(sized.filter(F.col("total") <= cap), "label").select("node", F.col("label").alias("top"))
         large = linked.join(sized.filter(F.col("total") > cap), "label", "left_semi")
-        ab = links.join(large.select(F.col("node").alias("a"), "label"), "a").withColumn("size", F.lit(0).cast("long"))
-        rows = large.select("label", "node", "size", F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("similarity"))
-        rows = rows.unionByName(ab.select("label", F.lit(None).cast("string").alias("node"), "size", "a", "b", "similarity"))
-
-        def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-            nodes, edges = pdf[pdf["node"].notna()], pdf[pdf["a"].notna()]
-            found = merge_in_order(nodes.sort_values("node"), edges.assign(place_a=edges["a"], place_b=edges["b"]), cap)
-            return pd.DataFrame({"node": list(found), "top": list(found.values())})
-
-        merged = small.unionByName(rows.groupBy("label").applyInPandas(greedy, "node string, top string"))
+        ab = links.join(large.select(F.col("node").alias("a")), "a", "left_semi")
+        merged = small.unionByName(merge_rounds(large.select("node", "size"), ab, cap))
     named = of.join(merged, "node", "left").select("item", F.coalesce("top", "node").alias("top"))
     return named.withColumn("cluster", F.min("item").over(Window.partitionBy("top"))).select("item", "cluster")
 

@@ -10,7 +10,8 @@ from ..operators import categories as C
 from ..operators import metrics as M
 from ..operators import rules as R
 from ..operators import team as Te
-from ..operators.clusters import cluster_items, cluster_terms
+from ..operators.clusters import CAP, cluster_items, cluster_terms
+from ..operators.similarity import SIMILAR
 from ..tables import stored
 from .core import A, rounded, share, total
 from .mapping import DAYS, NOW, now, pr_sessions, sql, turns
@@ -80,36 +81,40 @@ add(
     lambda t, p: intents(t, p)[1].select("root", F.array_join("terms", " ").alias("terms"), "label", "has_text"),
     TASKS + INTENT + "SELECT root, array_to_string(terms, ' ') AS terms, array_to_string(terms[1:3], ' ') AS label, has_text FROM it",
 )
-#: Clusters for the queries with SQL: connected components at a threshold where chains are short.
-STRICT = 0.8
 
 
-def strict(t: DataFrame, p: DataFrame):
+def clustered(t: DataFrame, p: DataFrame):
     s, i = intents(t, p)
     items = i.select(F.col("root").alias("item"), "terms")
-    clusters = stored(cluster_items(items, STRICT, None))
+    clusters = stored(cluster_items(items))
     return s, i, items, clusters
 
 
 CLUSTER = INTENT + f""", ex AS (SELECT root AS id, unnest(terms) AS term FROM it),
 idf AS (SELECT term, ln(((SELECT count(*) FROM it) + 1) / (count(DISTINCT id) + 1.0::DOUBLE)) + 1 AS idf FROM ex GROUP BY 1),
-sets AS (SELECT root AS id, list_sort(terms) AS k, min(root) OVER (PARTITION BY list_sort(terms)) AS rep FROM it),
+sets AS (SELECT root AS id, list_sort(terms) AS k, (row_number() OVER (PARTITION BY list_sort(terms) ORDER BY root) - 1) // {CAP} AS chunk FROM it),
+nod AS (SELECT min(id) AS node, k, chunk, count(*) AS size FROM sets GROUP BY k, chunk),
 nv AS (SELECT id, sqrt(sum(idf * idf)) AS norm FROM ex JOIN idf USING (term) GROUP BY 1),
-v AS (SELECT id, term, idf / norm AS w FROM ex JOIN idf USING (term) JOIN nv USING (id) WHERE id IN (SELECT rep FROM sets)),
-lk AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.term = y.term AND x.id <> y.id GROUP BY 1, 2 HAVING round(sum(x.w * y.w), 12) >= {STRICT}),
-rc AS (SELECT DISTINCT rep AS a, rep AS b FROM sets UNION SELECT rc.a, lk.b FROM rc JOIN lk ON lk.a = rc.b),
-cl AS (SELECT sets.id AS item, m.cluster FROM sets JOIN (SELECT a, min(b) AS cluster FROM rc GROUP BY 1) m ON m.a = sets.rep),
+v AS (SELECT id, term, idf / norm AS w FROM ex JOIN idf USING (term) JOIN nv USING (id) WHERE id IN (SELECT node FROM nod WHERE size < {CAP})),
+lk AS (SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 12) AS s FROM v x JOIN v y ON x.term = y.term AND x.id < y.id GROUP BY 1, 2 HAVING round(sum(x.w * y.w), 12) >= {SIMILAR}),
+-- Links one by one: a list of the nodes' labels, then of the labels' sizes; each link may rewrite it.
+num AS (SELECT node, size, row_number() OVER (ORDER BY node) AS i, count(*) OVER () AS n FROM nod),
+lst AS (SELECT list_concat([list_concat((SELECT list(i ORDER BY i) FROM num), (SELECT list(size ORDER BY i) FROM num))], coalesce((SELECT list([x.i, y.i, x.n] ORDER BY lk.s DESC, lk.a, lk.b) FROM lk JOIN num x ON x.node = lk.a JOIN num y ON y.node = lk.b), [])) AS steps),
+red AS (SELECT list_reduce(steps, lambda acc, e: CASE WHEN acc[e[1]] <> acc[e[2]] AND acc[e[3] + acc[e[1]]] + acc[e[3] + acc[e[2]]] <= {CAP}
+  THEN list_transform(acc, lambda x, k: CASE WHEN k <= e[3] AND x = acc[e[2]] THEN acc[e[1]] WHEN k = e[3] + acc[e[1]] THEN x + acc[e[3] + acc[e[2]]] ELSE x END) ELSE acc END) AS labels FROM lst),
+lab AS (SELECT node, k, chunk, labels[i] AS label FROM num JOIN nod USING (node), red),
+cl AS (SELECT id AS item, min(id) OVER (PARTITION BY label) AS cluster FROM sets JOIN lab USING (k, chunk)),
 tt AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, round(sum(idf), 9) DESC, term) AS r FROM ex JOIN cl ON cl.item = ex.id JOIN idf USING (term) GROUP BY 1, 2),
 nm AS (SELECT cluster, array_to_string(list(term ORDER BY r) FILTER (r <= 3), ' ') AS name, array_to_string(list(term ORDER BY r), ' ') AS terms FROM tt WHERE r <= 8 GROUP BY 1),
 ca AS (SELECT cluster, count(*) AS sessions, count(DISTINCT project) AS projects, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 8) AS cost_usd, bool_or(estimated) AS estimated, bool_or(has_text) AS has_text
   FROM cl JOIN ss ON ss.root = cl.item JOIN it ON it.root = cl.item GROUP BY 1)
 """
-WITH_CLUSTERS = sql(TASKS + CLUSTER).replace("WITH", "WITH RECURSIVE", 1)
+WITH_CLUSTERS = sql(TASKS + CLUSTER)
 COLUMNS = "cluster, name, sessions, projects, tokens, cost_usd, estimated, has_text"
 
 
 def category_rows(t, p):
-    s, i, _, clusters = strict(t, p)
+    s, i, _, clusters = clustered(t, p)
     return stored(C.categories(s, i, clusters))
 
 
@@ -117,10 +122,10 @@ def shown(df):
     return df.select(*COLUMNS.split(", "))
 
 
-add("cluster_sessions", lambda t, p: (lambda i: cluster_items(i.select(F.col("root").alias("item"), "terms")))(intents(t, p)[1]), None)
+add("cluster_sessions", lambda t, p: clustered(t, p)[3], WITH_CLUSTERS + "SELECT item, cluster FROM cl", True)
 add(
     "cluster_terms",
-    lambda t, p: (lambda s, i, items, clusters: cluster_terms(items, clusters).select("cluster", "name", F.array_join("terms", " ").alias("terms")))(*strict(t, p)),
+    lambda t, p: (lambda s, i, items, clusters: cluster_terms(items, clusters).select("cluster", "name", F.array_join("terms", " ").alias("terms")))(*clustered(t, p)),
     WITH_CLUSTERS + "SELECT cluster, name, terms FROM nm",
     True,
 )
