@@ -34,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
@@ -285,7 +285,7 @@ def _exchange_suffixes(base: DataFrame, candidates: DataFrame, length: int, buck
     def sort(batches):
         for batch in batches:
             ks, subs = batch.column("k").to_numpy(), batch.column("sub").to_numpy()
-            lists = batch.column("found")
+            lists = batch.column("found").fill_null([])
             edge = lists.offsets.to_numpy()
             flat = lists.values
             own, codes = flat.field("sub").to_numpy(), flat.field("code").to_numpy()
@@ -376,11 +376,21 @@ def _exchange_suffixes(base: DataFrame, candidates: DataFrame, length: int, buck
             out = [np.concatenate(x) for x in (ks, subs, firsts, lasts)]
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int64)), pa.array(out[3].astype(np.int64))], ["k", "sub", "first", "last"])
 
-    found = candidates.groupBy("k").agg(F.collect_list(F.struct("sub", "code")).alias("found"))
-    runs = base.join(found, "k").mapInArrow(released(sort), _RUNS)
+    runs = base.join(_by_row(candidates, "found", "code"), "k").withColumn("found", _of_row("found")).mapInArrow(released(sort), _RUNS)
     return _dealt(runs, buckets, n_bytes).mapInArrow(released(_by_bucket(merge)), "k long, sub int, first long, last long")
 
 
+def _by_row(entries: DataFrame, name: str, *fields: str) -> DataFrame:
+    """k and a map name of the entries by sub. One exchange serves both groupings, and the join by k."""
+    own = entries.repartition("k").groupBy("k", "sub").agg(F.collect_list(F.struct("sub", *fields)).alias("own"))
+    return own.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("sub", "own"))).alias(name))
+
+
+def _of_row(name: str) -> Column:
+    """The entries of the row's own text: rows that share an id are joined by the id alone, so that one exchange of the texts serves all passes."""
+    return F.try_element_at(name, F.col("sub"))
+
+
 def _equal_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the (non-empty) spans of buf that begin at a and at b are equal."""
     if not len(a):
@@ -488,8 +498,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, carry: bool = False)
     # Rows with the same id and text may be numbered the other way round each time; their ranges fit either.
     # All three passes over the texts read the same columns, so that one exchange of the texts serves them all.
     removed = _exchange_suffixes(base, _exchange_grams(base, length, buckets, n_bytes), length, buckets, n_bytes)
-    ranges = removed.groupBy("k").agg(F.collect_list(F.struct("sub", "first", "last")).alias("ranges"))
-    return base.join(ranges, "k", "left")
+    return base.join(_by_row(removed, "ranges", "first", "last"), "k", "left").withColumn("ranges", _of_row("ranges"))
 
 
 def _kept(batch: pa.RecordBatch):
