@@ -251,10 +251,11 @@ def link_documents(docs: DataFrame, shingle_words: int = 5, percent: int = 80, b
     firsts = usable.join(of, (F.col("set_key") == F.col("key_")) & (F.col("doc_id") == F.col("node")))
     nodes = durable(firsts.select("node", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["node", "signature"]))
 
-    # One exchange by key serves both the choice of leaders and the join with them.
-    member = firsts.select(F.explode("bands").alias("key"), "node").repartition("key")
+    # Leaders come from partial minima, and the join with them may split a band that very many share.
+    banded = durable(firsts.select("node", "bands"))
+    member = banded.select(F.explode("bands").alias("key"), "node")
     leaders = member.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last").select("key", "leader")
-    members = durable(member.join(leaders.hint("merge"), "key"))
+    members = durable(member.join(leaders, "key"))
     in_bands = members.select("node").distinct()
     texts = durable(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(in_bands, "node", "left_semi"))
 
