@@ -112,3 +112,15 @@ def test_transcript_files(spark, tmp_path):
     assert rows["u3"].activity == "thinking" and rows["u3"].tool_result_chars is None
     sub = rows["u5"]
     assert (sub.session_id, sub.parent_session_id, sub.agent_type, sub.is_sidechain, sub.intent_text) == ("a1", "s", "Explore", True, None)
+
+
+def test_runs_take_their_parents_project(spark):
+    rows = [
+        ("s", None, "/a/b/app", "/logs/-a-b-app/s.jsonl", 1),
+        ("r1", "s", "/tmp/w/scratch", "/logs/-a-b-app/s/subagents/agent-r1.jsonl", 2),
+        ("r2", "gone", "/a/b/other", "/logs/-a-b-dir/gone/subagents/agent-r2.jsonl", 3),
+        ("r3", "gone", None, "/logs/-a-b-dir/gone/subagents/deep/agent-r3.jsonl", 4),
+        ("q", "q", None, "/logs/-a-b-q/q.jsonl", 5),
+    ]
+    df = spark.createDataFrame(rows, "session_id string, parent_session_id string, cwd string, file string, ord long")
+    assert {r.session_id: r.project for r in P.turn_projects(df).collect()} == {"s": "app", "r1": "app", "r2": "other", "r3": "-a-b-dir", "q": "-a-b-q"}

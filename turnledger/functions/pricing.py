@@ -28,6 +28,7 @@ PRICES = [
     ("gemini-.*-flash", 0.5, 3.0, 0.05, 0.0, None, True),
     ("gpt-5|codex", 1.75, 14.0, 0.18, 0.0, None, True),
 ]
+# Fixed value: models billed at a premium.
 PREMIUM_MODEL = r"(?i)fable|mythos|opus|gpt-5(?!.*mini)|gemini-.*pro"
 
 PRICE_SCHEMA = "position int, pattern string, p_input double, p_output double, p_cache_read double, p_cache_write double, p_cache_write_1h double, estimated boolean"

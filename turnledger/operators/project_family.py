@@ -46,3 +46,18 @@ def session_projects(events: DataFrame) -> DataFrame:
     # A label may stand for deep and shallow folders; the shallow ones count only without any deep one.
     w = Window.partitionBy("session_id").orderBy(F.desc("deep"), F.desc("n"), "first")
     return counts.withColumn("r", F.row_number().over(w)).filter("r = 1").select("session_id", F.col("label").alias("project"))
+
+
+def turn_projects(turns: DataFrame) -> DataFrame:
+    """turns of transcripts (with cwd, file and ord) with their project.
+
+    A subagent's run has its parent's project, whatever folder it ran in; a run whose parent left
+    no turns has that of its own folders. Without any folder the log's own directory gives the name.
+    """
+    run = F.coalesce(F.col("parent_session_id") != F.col("session_id"), F.lit(False))
+    own = session_projects(turns.filter(run)).select("session_id", F.col("project").alias("_own"))
+    main = session_projects(turns.filter(~run)).select(F.col("session_id").alias("_owner"), F.col("project").alias("_main"))
+    folder = F.when(run, F.regexp_extract("file", r"([^/]+)/[^/]+/subagents/", 1)).otherwise(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
+    t = turns.withColumn("_owner", F.when(run, F.col("parent_session_id")).otherwise(F.col("session_id")))
+    t = t.join(main, "_owner", "left").join(own, "session_id", "left")
+    return t.withColumn("project", F.coalesce("_main", F.when(run, F.col("_own")), folder)).drop("_owner", "_main", "_own")

@@ -40,6 +40,7 @@ _SIDE = "(cache_read_tokens + input_tokens + cache_creation_tokens)"
 _FRESH = "(rate_input - rate_cache_read)"
 _DEAR = "greatest(rate_premium - rate_cheap, 0.0D)"
 
+# The rules' names, thresholds, targets and families.
 for _rule in (
     Rule("low-cache-hit", "cache_hit_ratio", "up", "cache_hit_ratio < 0.5D and spend_tokens > 100000", 0.8, "caching", f"(0.8D - cache_hit_ratio) * {_SIDE} * {_FRESH}", score="input_tokens", personal="cache_hit_ratio"),
     Rule("high-rework", "rework_ratio", "down", "rework_ratio > 0.2D", 0.1, "rework", "(rework_ratio - 0.1D) * spend_tokens * rate_spend", score="rework_tokens", personal="rework_ratio"),

@@ -99,7 +99,7 @@ def reconcile_usage(turns: DataFrame, billed: DataFrame) -> DataFrame:
 
 
 def personas(metrics: DataFrame) -> Column:
-    """The first persona whose condition holds for a row of compute_metrics()."""
+    """The first persona whose condition holds for a row of compute_metrics(). The limits are fixed values."""
     share = lambda a: ratio(f"{a}_activity", "spend_tokens")
     rework, hit = F.col("rework_ratio"), F.col("cache_hit_ratio")
     return (

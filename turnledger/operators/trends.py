@@ -11,7 +11,7 @@ from .metrics import _sum, compute_metrics, ratio
 FLAT = 0.005
 WARN_RATIO, STALE_DAYS, RETENTION_SLACK = 0.6, 3, 1.5
 
-# label, metric column, format, better direction, column that must be measured in either window
+# Label, metric column, format, better direction, column that must be measured in either window
 ROWS = [
     ("Spend tokens", "spend_tokens", "tokens", None, None),
     ("Est. cost", "cost_usd", "usd", None, None),

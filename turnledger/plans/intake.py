@@ -91,11 +91,24 @@ add(
     f"SELECT event_key, session_id, session_id AS parent_session_id FROM t WHERE is_sidechain AND {KEPT}",
 )
 add("ingest_pr_links", lambda t: C.pr_links(C.parsed(transcript(t))), EV + " SELECT session_id, count(DISTINCT k % 3) AS pr_count FROM ev WHERE user_id % 13 = 0 GROUP BY 1")
+
+
+def with_runs(t: DataFrame) -> DataFrame:
+    """The transcript with each run in a file of its own below its parent's folder; some parents left no turns."""
+    runs = t.filter("is_sidechain").select(F.concat(F.lit("/logs/"), "session_id", F.lit(".jsonl")).alias("file"), F.concat(F.lit("/logs/"), "parent_session_id", F.lit("/subagents/agent-"), "session_id", F.lit(".jsonl")).alias("own")).distinct()
+    lines = transcript(t.filter("is_sidechain or user_id % 20 <> 8"))
+    return lines.join(runs, "file", "left").withColumn("file", F.coalesce("own", "file")).drop("own")
+
+
 add(
     "ingest_subagents",
-    # A run's own file stands below its parent's folder.
-    lambda t: C.claude_turns(transcript(t.filter("is_sidechain")).join(t.select("session_id", "parent_session_id").distinct(), F.concat(F.lit("/logs/"), "session_id", F.lit(".jsonl")) == F.col("file")).withColumn("file", F.concat(F.lit("/logs/"), "parent_session_id", F.lit("/subagents/agent-"), "session_id", F.lit(".jsonl")))).select("event_key", "session_id", "parent_session_id", "is_sidechain", "intent_text"),
-    f"SELECT event_key, session_id, parent_session_id, is_sidechain, CAST(NULL AS VARCHAR) AS intent_text FROM t WHERE is_sidechain AND {KEPT}",
+    lambda t: P.turn_projects(stored(C.claude_turns(with_runs(t)))).filter("parent_session_id <> session_id").select("event_key", "session_id", "parent_session_id", "is_sidechain", "intent_text", "project"),
+    f""", c AS (SELECT session_id, event_id, user_id % 3 AS u3, project AS p, event_id % 4 = 0 AS api FROM t WHERE {KEPT} AND (is_sidechain OR user_id % 20 <> 8)),
+    s AS (SELECT session_id, bool_or(NOT api) AS base FROM c GROUP BY 1),
+    l AS (SELECT session_id, event_id, CASE WHEN api AND NOT base THEN 'api' WHEN u3 = 0 THEN 'mono' ELSE p END AS label FROM c JOIN s USING (session_id)),
+    sp AS (SELECT session_id, arg_max(label, (n, -f)) AS project FROM (SELECT session_id, label, count(*) AS n, min(event_id) AS f FROM l GROUP BY 1, 2) GROUP BY 1)
+    SELECT event_key, t.session_id, parent_session_id, is_sidechain, CAST(NULL AS VARCHAR) AS intent_text, coalesce(pp.project, sp.project) AS project
+    FROM t LEFT JOIN sp AS pp ON pp.session_id = t.parent_session_id LEFT JOIN sp ON sp.session_id = t.session_id WHERE is_sidechain AND {KEPT}""",
 )
 add("is_declination", lambda t: t.select("event_key", is_declination(F.when(F.col("k") % 7 == 0, F.concat(F.lit("Error: "), F.lit(DECLINED))).otherwise(F.col("model"))).alias("declined")), EV + " SELECT event_key, k % 7 = 0 AS declined FROM ev")
 
