@@ -13,6 +13,8 @@ from .annotate import with_sums
 SIMILAR = 0.4
 RELAY_THRESHOLD, RELAY_DAYS, MIN_SHINGLES = 0.35, 14, 24
 TOKENS_PER_WORD = 1.3
+#: Bands of the lengths that similar_sessions() tells apart.
+BANDS = 8
 
 
 def term_idf(fingerprints: DataFrame) -> DataFrame:
@@ -34,8 +36,11 @@ def similar_sessions(fingerprints: DataFrame, threshold: float = SIMILAR, reps:
 
     Items with equal terms are one (their cosine is 1) and stand for each other. Of a vector
     only the rarest terms are indexed, up to where the rest is too short to reach the
-    threshold, so a pair without a common indexed term cannot be similar. With reps only these
-    items are compared; all still count for the terms' weights.
+    threshold, so a pair without a common indexed term cannot be similar. At the first term
+    that two items share, no more than the product of what is left of both can still come
+    together: items meet under a term only in bands of such lengths whose product reaches the
+    threshold, which also spreads a frequent term over the bands. With reps only these items
+    are compared; all still count for the terms' weights.
     """
     sets = fingerprints.withColumn("terms", F.array_sort(F.array_distinct("terms")))
     reps = sets.groupBy("terms").agg(F.min("item").alias("item")) if reps is None else reps
@@ -43,8 +48,12 @@ def similar_sessions(fingerprints: DataFrame, threshold: float = SIMILAR, reps:
     rare = Window.partitionBy("item").orderBy("df", "term")
     rest = F.sum(F.col("w") * F.col("w")).over(rare.rowsBetween(0, Window.unboundedFollowing))
     indexed = v.withColumn("rest", F.sqrt(rest)).filter(F.col("rest") >= threshold - 1e-9)
-    a, b = (indexed.select("term", F.col("item").alias(x)) for x in ("a", "b"))
-    pairs = a.join(b, "term").filter("a < b").select("a", "b").distinct()
+    a = indexed.select("term", F.col("item").alias("a"), F.col("rest").alias("ra"), F.floor(F.col("rest") * BANDS).cast("int").alias("ba"))
+    b = indexed.select("term", F.col("item").alias("b"), F.col("rest").alias("rb"), F.floor(F.col("rest") * BANDS).cast("int").alias("band"))
+    # The lowest band of b that may hold partners of a; a rest of 1 may come out a little longer.
+    lowest = F.greatest(F.lit(0), F.floor(F.lit(threshold - 1e-6) * BANDS * BANDS / (F.col("ba") + 1)).cast("int") - 1)
+    near = a.withColumn("band", F.explode(F.sequence(lowest, F.lit(BANDS))))
+    pairs = near.join(b, ["term", "band"]).filter((F.col("a") < F.col("b")) & (F.col("ra") * F.col("rb") >= threshold - 1e-6)).select("a", "b").distinct()
     va, vb = (v.select(F.col("item").alias(x), "term", F.col("w").alias(f"w{x}")) for x in ("a", "b"))
     dot = pairs.join(va, "a").join(vb, ["b", "term"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 12).alias("similarity"))
     return dot.filter(F.col("similarity") >= threshold)
@@ -52,7 +61,7 @@ def similar_sessions(fingerprints: DataFrame, threshold: float = SIMILAR, reps:
 
 def prompt_messages(messages: DataFrame) -> DataFrame:
     """The first occurrence of each distinct prompt of a session, redacted; messages has (session_id, ts, text)."""
-    w = Window.partitionBy("session_id", "text").orderBy("ts")
+    w = Window.partitionBy("session_id", F.sha2("text", 256)).orderBy("ts")
     first = messages.filter(F.trim("text") != "").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
     return first.withColumn("text", redact_text(F.col("text")))
 
@@ -61,10 +70,13 @@ def output_shingles(outputs: DataFrame) -> DataFrame:
     """(session_id, shingle, first_ts, last_ts): the distinct shingles of a session's redacted responses, read as one text.
 
     A shingle may run over responses: each is read on from the last seven words before it, which
-    stand in at most seven responses, so no session's text is ever gathered.
+    stand in at most seven responses, so no session's text is ever gathered. Texts are exchanged
+    by session first and redacted there, once.
     """
     span = outputs.groupBy("session_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    said = outputs.select("session_id", "ts", word_list(redact_text(F.col("text"))).alias("words")).filter(F.size("words") > 0)
+    words = word_list(redact_text(F.col("text")))
+    # The generator keeps the filter from being pushed below, where it would redact every text again.
+    said = outputs.select("session_id", "ts", "text").repartition("session_id").select("session_id", "ts", F.explode(F.filter(F.array(words), lambda x: F.size(x) > 0)).alias("words"))
     reach = SHINGLE_WORDS - 1
     tail = F.slice("words", -F.least(F.size("words"), F.lit(reach)), F.lit(reach))
     before = F.flatten(F.collect_list("tail").over(Window.partitionBy("session_id").orderBy("ts", "words").rowsBetween(-reach, -1)))
@@ -82,19 +94,26 @@ def detect_relays(messages: DataFrame, outputs: DataFrame, threshold: float = RE
     source must have ended before and within the days. A source that holds the threshold's share of a
     message's shingles holds at least one of its rarest n - ceil(threshold * n) + 1, so only these
     look for candidates, and boilerplate that many sessions share brings none together by itself;
-    candidates are then counted in full.
+    candidates are then counted in full. Time is cut into buckets of as many days, and a message
+    looks into its own bucket and the one before: a shingle meets no older sources, and is rare
+    or frequent by what these two hold.
     """
-    words = word_list(F.col("text"))
     first = prompt_messages(messages)
-    m = stored(first.select("message_id", F.col("session_id").alias("to_session"), "ts", F.size(words).alias("words"), shingles(words).alias("sh")).withColumn("n", F.size("sh")).filter(F.col("n") >= MIN_SHINGLES))
-    right = stored(output_shingles(outputs).select(F.col("session_id").alias("from_session"), "shingle", "last_ts"))
-    often = right.groupBy("shingle").agg(F.count("*").alias("often"))
+    said = F.transform(F.array(word_list(F.col("text"))), lambda x: F.struct(F.size(x).alias("words"), shingles(x).alias("sh")))
+    long_enough = F.filter(said, lambda x: F.size(x["sh"]) >= MIN_SHINGLES)
+    width = days * 86_400_000_000
+    m = first.select("message_id", F.col("session_id").alias("to_session"), "ts", F.explode(long_enough).alias("said"))
+    m = stored(m.select("message_id", "to_session", "ts", "said.words", "said.sh", F.size("said.sh").alias("n"), F.floor(F.unix_micros("ts") / width).alias("bucket")))
+    right = stored(output_shingles(outputs).select(F.col("session_id").alias("from_session"), "shingle", "last_ts", F.floor(F.unix_micros("last_ts") / width).alias("bucket")))
+    # A source is met by messages of its own bucket and of the next one.
+    often = right.select("shingle", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket")).groupBy("shingle", "bucket").agg(F.count("*").alias("often"))
     rare = Window.partitionBy("message_id").orderBy("often", "shingle")
-    # Shingles that no session put out come first in the count, though they find nothing.
-    probe = m.select("message_id", "to_session", "ts", "n", F.explode("sh").alias("shingle")).join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    # Shingles that no session put out then come first in the count, though they find nothing.
+    probe = m.select("message_id", "to_session", "ts", "n", "bucket", F.explode("sh").alias("shingle")).join(often, ["shingle", "bucket"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
     probe = probe.withColumn("place", F.row_number().over(rare)).filter((F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1) & (F.col("often") > 0))
+    probe = probe.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, "bucket")))
     age = (F.unix_micros("ts") - F.unix_micros("last_ts")) / 86_400_000_000
-    pairs = probe.join(right, "shingle").filter((F.col("from_session") != F.col("to_session")) & (age > 0) & (age <= days)).select("message_id", "from_session", "last_ts").distinct()
+    pairs = probe.join(right, ["shingle", "bucket"]).filter((F.col("from_session") != F.col("to_session")) & (age > 0) & (age <= days)).select("message_id", "from_session", "last_ts").distinct()
     full = pairs.join(m.select("message_id", F.explode("sh").alias("shingle")), "message_id").join(right.select("from_session", "shingle"), ["from_session", "shingle"])
     found = full.groupBy("message_id", "from_session", "last_ts").agg(F.count("*").alias("hit"))
     scored = found.join(m.drop("sh"), "message_id").withColumn("overlap", F.col("hit") / F.col("n")).filter(F.col("overlap") >= threshold)

@@ -167,7 +167,7 @@ def upsert_relay_findings(state: DataFrame, found: DataFrame) -> DataFrame:
 
 def append_turns(turns: DataFrame, table: DataFrame | None, path: str) -> DataFrame:
     """Adds the turns that are not stored yet to the table at path, by source and day; gives what was added."""
-    new = dedup_turns(turns, table).withColumn("dt", F.to_date("ts"))
+    new = stored(dedup_turns(turns, table).withColumn("dt", F.to_date("ts")))
     new.repartition("source", "dt").write.mode("append").partitionBy("source", "dt").parquet(path)
     return new
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.state import dedup_turns
 from ..tables import shared_dir
 
 LATE = "7 days"
+KEY = ["source", "event_key"]
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def turn_files(turns: DataFrame) -> str:
@@ -18,33 +24,41 @@ def turn_files(turns: DataFrame) -> str:
     return path
 
 
-def stream_collect(spark: SparkSession, source: str, schema, table: str, checkpoint: str) -> None:
+def first_of_each(rows: pa.Table) -> pa.Table:
+    """The first row of each (source, event_key), in the order of dedup_turns(); null counts as a value."""
+    order = [(c, "ascending") for c in ("ts", "session_id", "input_tokens", "output_tokens") if c in rows.column_names]
+    place = pc.sort_indices(rows, sort_keys=order, null_placement="at_start")
+    keyed = rows.select(KEY).take(place).append_column("place", place)
+    rank = keyed.append_column("rank", pa.array(range(len(place)), pa.int64())).group_by(KEY).aggregate([("rank", "min")])
+    return rows.take(place.take(rank["rank_min"]))
+
+
+def stream_collect(spark: SparkSession, source: str, schema, table: str, checkpoint: str, files: int = 1000, chunks: int = 256) -> None:
     """Appends the turns of new files in source to table, each (source, event_key) once, however late they come.
 
-    Repeats are dropped by an anti-join of each batch with what the table holds: a watermark would
-    drop late turns that are no repeats. A batch that is run again after a failure overwrites its
-    own folder, whose turns it does not count as held.
+    The keys taken in so far are the query's state, in RocksDB: a batch looks up its own keys and
+    reads nothing of the table, so its work grows with the batch alone. There is no watermark, as
+    one would drop late turns that are no repeats; the state holds a key a turn and is spread
+    over the shuffle partitions of the first run. Of a batch's own repeats the first by time
+    stays: each of the chunks of keys, which hold no more than their share of a batch of so many
+    files, is sorted by itself. A batch that is run again after a failure overwrites its own
+    folder, and its state starts from the batch before.
     """
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    first = rows.groupBy(F.pmod(F.xxhash64(*KEY), F.lit(chunks)).alias("chunk")).applyInArrow(first_of_each, schema)
 
     def add(batch: DataFrame, number: int) -> None:
-        own = f"{table}/batch={number}"
-        old = None
-        if _has_rows(spark, table, schema):
-            held = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(table)
-            old = held.filter(~F.col("_metadata.file_path").contains(f"/batch={number}/"))
-        dedup_turns(batch, old).write.mode("overwrite").parquet(own)
-
-    stream = spark.readStream.schema(schema).parquet(source)
-    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-def _has_rows(spark: SparkSession, path: str, schema) -> bool:
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
-        return bool(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path).limit(1).count())
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
+        stream = first.dropDuplicates(KEY).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    stream.awaitTermination()
 
 
 def stream_daily_usage(spark: SparkSession, source: str, schema, table: str, checkpoint: str, late: str = LATE) -> None:
