@@ -10,7 +10,7 @@ from ..operators import project_family as P
 from ..operators import state as St
 from ..sources import claude as C
 from ..sources import codex as X
-from ..sources.lines import read_lines
+from ..sources.bundles import read_bundles, write_bundles
 from ..streaming import intake as I
 from ..tables import shared_dir, stored
 from .core import rounded, total
@@ -58,11 +58,10 @@ def transcript(t: DataFrame) -> DataFrame:
 
 
 def written(t: DataFrame) -> DataFrame:
-    """The transcript as files, one line after the other in each, and read again."""
+    """The transcript as bundles of many sessions' files, and read again."""
     path = shared_dir(t.sparkSession)
-    lines = transcript(t).repartition("file").sortWithinPartitions("file", "ord")
-    lines.select("value", F.regexp_extract("file", r"([^/]+)\.jsonl$", 1).alias("session")).write.partitionBy("session").text(path)
-    return read_lines(t.sparkSession, path)
+    write_bundles(transcript(t), path)
+    return read_bundles(t.sparkSession, path)
 
 
 KEPT = "spend + cache_read_tokens + cache_creation_tokens <> 0"
