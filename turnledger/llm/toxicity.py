@@ -16,7 +16,7 @@ ratio. Learning uses a sample of labelled rows whose expected size is bounded by
 ``sample_rows``; the lexicon is bounded by ``lexicon_size``.
 
 Defined results: a null or empty text has no clause and gets the score of an empty text.
-Rows are independent, so ties, repeated rows, null ids and further columns have no effect.
+Texts of any length are read whole, in slices. Rows are independent, so ties, repeated rows, null ids and further columns have no effect.
 Of conflicting labels of one id the higher holds. Without labels only the seed list scores. An empty table gives no rows.
 """
 
@@ -123,8 +123,8 @@ def compose(*parts: Transducer) -> Transducer:
 GRAMMAR = compose(abuse(), negation(), reported_speech())
 
 
-def clause_weight(symbols, weights, grammar: Transducer = GRAMMAR) -> float:
-    """Weight of one clause: symbols and, for insults and threats, their weights."""
+def clause_parts(symbols, weights, grammar: Transducer = GRAMMAR) -> tuple[float, float]:
+    """Weight of one clause that is paired with a target, and of insults without one: symbols and, for insults and threats, their weights."""
     state, total, insults, threats = grammar.start, 0.0, 0.0, 0.0
     for symbol, weight in zip(symbols, weights):
         state, factor, act = grammar.steps[state, symbol]
@@ -138,7 +138,11 @@ def clause_weight(symbols, weights, grammar: Transducer = GRAMMAR) -> float:
             total += insults + threats
             insults = threats = 0.0
         total += factor * weight
-    return total + insults * BARE / TARGETED  # what waits for a target in vain
+    return total, insults * BARE / TARGETED  # what waits for a target in vain
+
+
+def clause_weight(symbols, weights, grammar: Transducer = GRAMMAR) -> float:
+    return sum(clause_parts(symbols, weights, grammar))
 
 
 # --- words of a slice ---
@@ -194,9 +198,13 @@ class Model:
 
     def raw(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Summed clause weights of each document."""
+        return self.parts(buf, off).sum(1)
+
+    def parts(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Of each document two sums: weights of clauses that name a target, and of insults without one."""
         n = len(off) - 1
         start, doc, inverse, distinct, stems = distinct_words(buf, off)
-        out = np.zeros(n)
+        out = np.zeros((n, 2))
         if not len(start):
             return out
         symbol, weight = np.zeros(len(distinct), np.int8), np.zeros(len(distinct))
@@ -219,7 +227,7 @@ class Model:
                 a -= 1
             while b < len(doc) and doc[b] == doc[i] and clause[b] == clause[i]:
                 b += 1
-            out[doc[i]] += clause_weight(word_symbol[a:b].tolist(), weight[inverse[a:b]].tolist())
+            out[doc[i]] += clause_parts(word_symbol[a:b].tolist(), weight[inverse[a:b]].tolist())
         return out
 
     def score(self, raw: np.ndarray) -> np.ndarray:
@@ -284,22 +292,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted of every row; only the text is an input."""
+    """doc_id, score, predicted of every row, and by_clause: whether matched clauses alone give that verdict. Only the text is an input."""
 
     def run(batches):
         for batch in batches:
-            values = np.concatenate([model.raw(buf, off) for _, _, buf, off in T.slices(batch.column("text"))] or [np.zeros(0)])
-            p = model.score(values)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
+            values = np.concatenate([model.parts(buf, off) for _, _, buf, off in T.slices(batch.column("text"))] or [np.zeros((0, 2))])
+            p = model.score(values.sum(1))
+            by_clause = (model.score(values[:, 0]) >= 0.5) == (p >= 0.5)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32)), "by_clause": pa.array(by_clause)})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, score double, predicted int, by_clause boolean")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "by_clause")
 
 
 QUERIES = {"op8_toxicity": op8_toxicity}
