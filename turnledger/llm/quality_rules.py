@@ -50,7 +50,7 @@ class Rule:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """doc_id, _text and the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+    """doc_id, _text, _lines (those with a word) and the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
     Repeated words: the hashes of all three-word windows are sorted with their places; a
     window next to an equal one is repeated, and the words under such windows are counted
@@ -70,6 +70,7 @@ def with_features(docs: DataFrame) -> DataFrame:
     df = df.select(
         "doc_id",
         "_text",
+        "_lines",
         F.size("_w").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -97,14 +98,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _lines() -> Column:
-    """The lines with a word."""
-    return F.filter(F.split("_text", "\n"), lambda x: F.length(F.trim(x, F.lit(TRIMMED))) > 0)
-
-
 def _more_lines(percent: int, pattern: str) -> Column:
     """Whether more than so many percent of the lines with a word match."""
-    state = F.aggregate(_lines(), F.lit(0), lambda n, x: n + F.when(x.rlike(pattern), 100 - percent).otherwise(-percent))
+    state = F.aggregate("_lines", F.lit(0), lambda n, x: n + F.when(x.rlike(pattern), 100 - percent).otherwise(-percent))
     return state > 0
 
 
@@ -113,7 +109,7 @@ def default_rules() -> list[Rule]:
     return [
         Rule("symbols", 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars")),
         Rule("upper_case", 100 * F.regexp_count("_text", F.lit(r"\p{Lu}")) > MAX_UPPER_PERCENT * F.col("word_chars")),
-        Rule("repeated_lines", 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.size(_lines())),
+        Rule("repeated_lines", 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.size("_lines")),
         Rule("long_words", F.col("word_chars") > MAX_MEAN_WORD * F.col("n_words")),
         Rule("bullets", _more_lines(MAX_BULLET_PERCENT, rf"^[{SPACES}]*[-*\x{{2022}}\x{{25CF}}]")),
         Rule("ellipses", _more_lines(MAX_ELLIPSIS_PERCENT, rf"(\.\.\.|\x{{2026}})[{SPACES}]*$")),
@@ -159,9 +155,11 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = S
     sample = docs.select("doc_id", "text")
     if n > sample_rows:
         sample = sample.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
+    # Timed over all cores, as far as there are rows for them.
+    sample = sample.repartition(max(1, min(docs.sparkSession.sparkContext.defaultParallelism, sample_rows // 50)))
     ordered = order_rules(measure(durable(with_features(sample)).filter(~base_failed()), rules)) if len(rules) > 1 else rules
     out = with_features(docs).withColumn("base_failed", base_failed())
-    return out.withColumn("rejected_by", F.when(~F.col("base_failed"), verdict(ordered))).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+    return out.withColumn("rejected_by", F.when(~F.col("base_failed"), verdict(ordered))).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("_lines")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
