@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -97,6 +98,17 @@ def test_responses(spark):
     assert all(r.r == plain_regions(texts[r.id] or "") for r in got)
 
 
+def test_long_answers(spark):
+    """What is folded are brackets, quotes and backslashes, not every character; the items are found once for both results."""
+    one = json.dumps([{"metric": "reworkRatio", "title": "t", "rationale": "r" * 3_000_000}, {"metric": "x"}])
+    df = spark.createDataFrame([(i, "see " + one + " \\" + "y" * 3_000_000) for i in range(4)], "id long, text string").coalesce(1)
+    begin = time.monotonic()
+    items = R.checked(df)
+    assert [(r.id, r.metric, len(r.rationale)) for r in R.parse_interventions(df, items).orderBy("id").collect()] == [(i, "reworkRatio", 400) for i in range(4)]
+    assert [r.dropped for r in R.dropped_interventions(df, items).collect()] == [1] * 4
+    assert time.monotonic() - begin < 30
+
+
 def test_pages(spark):
     a = lambda day, **k: {"starting_at": day, "results": [{"model": "m", "uncached_input_tokens": 5, "output_tokens": 1, "cache_read_input_tokens": 2, "cache_creation": {"ephemeral_5m_input_tokens": 3}} | k]}
     pages = [{"data": [a("d1"), a("d2")], "has_more": True}, {"data": [a("d2", uncached_input_tokens=50), a("d3", model=None, uncached_input_tokens=None, cache_creation=None)]}, "{broken", {"data": None}, {"data": [{"starting_at": "d4"}, a("d1", output_tokens="x")]}, {"data": [a("d1"), a("d1", output_tokens=9)]}]
