@@ -7,8 +7,12 @@ import math
 import os
 import random
 import tempfile
+import time
 
-from turnledger.operators.similarity import detect_relays, similar_sessions
+from pyspark.sql import functions as F
+
+from turnledger.functions.text import tokenize_text, word_list
+from turnledger.operators.similarity import detect_relays, output_shingles, shared_shingles, similar_sessions
 from turnledger.operators.state import append_turns, dedup_turns
 from turnledger.streaming.intake import stream_collect
 
@@ -105,3 +109,32 @@ def test_append_gives_what_it_wrote(spark):
     more = append_turns(turns.union(spark.createDataFrame([turn("k3", 1)], TURNS)), spark.read.parquet(path), path)
     assert [r.event_key for r in more.collect()] == ["k3"]
     assert spark.read.parquet(path).count() == 3
+
+
+def test_words_in_linear_time(spark):
+    """A long run of marks inside a word costs its length, not the square of it."""
+    rows = [("a" + "." * 300_000 + "b c++ .net x.y.. node.js, #abc+ 1234 sk",)]
+    begin = time.monotonic()
+    got = spark.createDataFrame(rows, "text string").select(tokenize_text(F.col("text")).alias("t"), word_list(F.col("text")).alias("w")).first()
+    assert got.t == ["net", "x.y", "node.js", "abc"]
+    assert got.w == ["a", "b", "c", "net", "x", "y", "node", "js", "abc", "1234", "sk"]
+    assert time.monotonic() - begin < 20
+
+
+def test_only_shingles_of_two_sessions_go_on(spark):
+    rows = "shingle long, who long, session long"
+    # 1: one session on both sides; 2: two sessions; 3: nobody said it; 4: nobody holds it; 5: a message without a session of its own.
+    said = spark.createDataFrame([(1, 10, 7), (2, 10, 7), (2, 11, 8), (4, 11, 8), (5, 12, -1)], rows)
+    held = spark.createDataFrame([(1, 7, 7), (2, 7, 7), (3, 7, 7), (5, 8, 8)], rows)
+    got = sorted(map(tuple, shared_shingles(said, held, 3).collect()))
+    assert got == [(2, 7, True), (2, 11, False), (5, 8, True), (5, 12, False)]
+
+
+def test_tasks_of_shingles_grow_with_texts(spark, monkeypatch):
+    import turnledger.operators.similarity as S
+
+    monkeypatch.setattr(S, "PART_CHARS", 1000)
+    df = spark.createDataFrame([(f"s{k}", T0, words(k, 100)) for k in range(40)], TEXTS)
+    read = output_shingles(df)
+    assert S.text_parts(df) == 40 * 699 // 1000 > 4
+    assert read.count() == 40 * 93
