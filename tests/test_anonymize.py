@@ -82,3 +82,20 @@ def test_the_payload_names_nothing(spark):
     assert {r.model for r in t.select("model").distinct().collect()} == set(d["overall"]["models"])
     nothing = json.loads(aggregate_payload(t.limit(0), pr_sessions(t), now(), 30).first().doc)
     assert nothing["overall"]["turns"] == 0 and nothing["projects"] == []
+
+
+def test_long_results_are_not_exchanged(spark, tmp_path):
+    """Neither the index of bundles nor the prompts before a turn take long results through an exchange that may put them together."""
+    from turnledger.sources.claude import carry_prompt, parsed
+
+    path = str(tmp_path / "long")
+    lines = [("/a/s.jsonl", i, '{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"c","content":"' + "x" * 50_000 + '"},{"type":"text","text":"ask ' + str(i) + '"}]}}') for i in range(20)]
+    df = spark.createDataFrame(lines, "file string, ord long, value string")
+    B.write_bundles(df, path, 100_000)
+    back = B.read_bundles(spark, path)
+    n = B.read_index(spark, path).select("bundle").distinct().count()
+    assert n > 4 and [r.value for r in back.orderBy("ord").collect()] == [x[2] for x in lines]
+    # One partition a bundle, although all texts together are compressed to next to nothing.
+    assert back.select("value").rdd.getNumPartitions() == n
+    said = carry_prompt(parsed(df)).orderBy("ord").collect()
+    assert [r.intent_text for r in said] == [f"ask {i}" for i in range(20)] and not any(r.blocks for r in said)
