@@ -64,6 +64,36 @@ def test_clusters_equal_the_plain_greedy_merge(spark, monkeypatch, cap, finish):
     assert all(min(g) == c for c, g in groups.items())
 
 
+def test_a_hub_takes_few_rounds(spark, monkeypatch):
+    """A hub takes in its neighbours one after the other; the tables made grow with blocks of links, not with neighbours."""
+    made = []
+    monkeypatch.setattr(clusters, "stored", lambda df, real=clusters.stored: made.append(1) or real(df))
+    nodes = spark.createDataFrame([(f"n{i:02}", 1) for i in range(61)], "node string, size long")
+    links = spark.createDataFrame([("n00", f"n{i:02}", 0.9 - i / 1000) for i in range(1, 61)], "a string, b string, similarity double")
+    tops = {r.node: r.top for r in clusters.merge_rounds(nodes, links, 50, 0).collect()}
+    assert {n for n, t in tops.items() if t == tops["n00"]} == {f"n{i:02}" for i in range(50)}
+    assert len({t for n, t in tops.items() if n >= "n50"}) == 11
+    assert len(made) <= 10
+
+
+def test_links_of_frequent_terms_in_parts(spark, monkeypatch):
+    """Few items meet at a time: every link is found, and once."""
+    from turnledger.operators import similarity
+
+    monkeypatch.setattr(similarity, "TERM_ITEMS", 3)
+    rng = random.Random(5)
+    items = [(f"i{i:03}", ["all"] + rng.sample([f"w{k}" for k in range(12)], 3)) for i in range(40)]
+    links = [(r.a, r.b) for r in similarity.similar_sessions(spark.createDataFrame(items, "item string, terms array<string>"), 0.3).collect()]
+    assert len(links) == len(set(links)) > 50
+    sets = {}
+    for i, ts in items:
+        sets.setdefault(frozenset(ts), i)
+    df = Counter(t for _, ts in items for t in ts)
+    idf = {t: math.log(41 / (n + 1)) + 1 for t, n in df.items()}
+    dot = lambda x, y: sum(idf[t] ** 2 for t in x & y) / math.sqrt(sum(idf[t] ** 2 for t in x) * sum(idf[t] ** 2 for t in y))
+    assert set(links) == {(a, b) for x, a in sets.items() for y, b in sets.items() if a < b and dot(x, y) >= 0.3}
+
+
 def test_alias_chains_of_any_length(spark):
     rows = [(f"n{i}", f"n{i + 1}") for i in range(70)] + [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "b"), ("s", "s")]
     got = {r.alias: r.target for r in resolve_alias_chains(spark.createDataFrame(rows, "alias string, target string")).collect()}
