@@ -71,3 +71,12 @@ def test_a_write_that_is_cut_off_leaves_the_old_snapshot(spark, tmp_path):
     two = docs(spark, {"version": 1, "user": "b", "overall": {"events": 1}}).select(F.regexp_replace("value", r"\s", "").alias("doc"))
     E.write_export(two, path, F.lit("2026-01-02").cast("timestamp"))
     assert [r.user for r in E.member_exports(E.read_export(spark, path)).collect()] == ["b"]
+
+
+def test_members_turns_are_mapped_once(spark):
+    """The documents' metrics read a table of turns, not the events that each of them would map anew."""
+    from turnledger.plans.lookups import documents
+    from turnledger.plans.mapping import turns
+
+    files = documents(turns(spark, "/root/testdata/sf0.001")).inputFiles()
+    assert files and not [f for f in files if "events.parquet" in f]
