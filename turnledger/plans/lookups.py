@@ -130,7 +130,7 @@ def documents(t: DataFrame) -> DataFrame:
     """(user, host, doc) of eight members."""
     # A table: the metrics read turns many times, each of which would map the events anew.
     m = stored(t.withColumn("user", F.concat(F.lit("m"), F.col("user_id") % 8)).withColumn("host", F.lit("host")))
-    return E.build_exports(m, pr_sessions(t), now(), DAYS)
+    return E.build_exports(m, pr_sessions(m), now(), DAYS)
 
 
 def exported(t: DataFrame) -> DataFrame:
