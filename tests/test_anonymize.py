@@ -99,3 +99,12 @@ def test_long_results_are_not_exchanged(spark, tmp_path):
     assert back.select("value").rdd.getNumPartitions() == n
     said = carry_prompt(parsed(df)).orderBy("ord").collect()
     assert [r.intent_text for r in said] == [f"ask {i}" for i in range(20)] and not any(r.blocks for r in said)
+
+
+def test_the_payloads_turns_are_mapped_once(spark):
+    """All parts of the document read a table of turns, not the events that each of them would map anew."""
+    from turnledger.plans.mapping import turns
+    from turnledger.plans.sharing import payload
+
+    files = payload(turns(spark, "/root/testdata/sf0.001")).inputFiles()
+    assert files and not [f for f in files if "events.parquet" in f]
