@@ -106,3 +106,17 @@ def test_packed_rows(spark, awkward, nothing, enc):
         assert at <= 2048
     assert len(sequences) <= -(-sum(r.length for r in rows) // 2048) + 1
     assert P.pack_documents(nothing).count() == 0
+
+
+def test_memory_of_a_worker_is_bounded():
+    import tracemalloc
+
+    enc = P.encoder(default_tokenizer(), P.REMEMBERED)
+    words = (f"w{i:x}" for i in range(1_000_000))
+    texts = pa.array([" ".join(next(words) for _ in range(250)) for _ in range(4000)])
+    tracemalloc.start()
+    for _, _, buf, off in T.slices(texts, P.SLICE):
+        enc.encode(buf, off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6, peak

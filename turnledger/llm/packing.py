@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .common import durable, parts, released, table
-from .tokens import SLICE, default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -35,6 +35,11 @@ GROUP_ROWS = 3000
 #: Pieces that a task packs, group after group.
 TASK_ROWS = 300_000
 
+#: Bytes of text encoded at once, and distinct pieces that a worker remembers. Smaller than elsewhere, for in the
+#: pipeline executors still hold what the stages before left in them (bounds on memory, not on input).
+SLICE = 1 << 19
+REMEMBERED = 300_000
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,7 +47,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     """One row per piece, with the ids' crc32 and a number for dealing the rows into groups."""
 
     def cut(batches):
-        enc = encoder(tokenizer or default_tokenizer())
+        enc = encoder(tokenizer or default_tokenizer(), REMEMBERED)
         here, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, last, buf, off in T.slices(batch.column("text"), SLICE):

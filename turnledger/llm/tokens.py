@@ -84,10 +84,14 @@ def cuts(buf: np.ndarray, off: np.ndarray, whole: bytes, kind: np.ndarray, uncut
 
 
 class Encoder:
-    def __init__(self, path: str):
+    #: How many distinct pieces it keeps, if not REMEMBERED.
+    remembered: int | None = None
+
+    def __init__(self, path: str, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -179,7 +183,7 @@ class Encoder:
         return out, counts
 
     def _remember(self, keys: np.ndarray, pieces: list[bytes], begin: np.ndarray, length: np.ndarray, times: np.ndarray, pool: np.ndarray) -> None:
-        """Adds pieces; beyond REMEMBERED the half that was met most often stays."""
+        """Adds pieces; beyond the number to be remembered the half that was met most often stays."""
         near = np.searchsorted(self.keys, keys)
         fresh = np.append(self.keys, ~keys[-1:])[near] != keys  # a hash that other bytes have already stays theirs
         size = np.array([len(p) for p in pieces], np.int32)
@@ -191,8 +195,9 @@ class Encoder:
         self.keys = keys[order]
         new = (at, size, begin, length, times.astype(np.int32))
         self.at, self.size, self.begin, self.length, self.met = (np.concatenate([x, y[fresh]])[order] for x, y in zip((self.at, self.size, self.begin, self.length, self.met), new))
-        if len(self.keys) > REMEMBERED:
-            keep = np.sort(np.argsort(-self.met, kind="stable")[: REMEMBERED // 2])
+        most = self.remembered or REMEMBERED
+        if len(self.keys) > most:
+            keep = np.sort(np.argsort(-self.met, kind="stable")[: most // 2])
             self.keys, self.at, self.size, self.begin, self.length, self.met = (x[keep] for x in (self.keys, self.at, self.size, self.begin, self.length, self.met))
             self.bytes, self.at = _packed(self.bytes, self.at, self.size)
             self.ids, self.begin = _packed(self.ids, self.begin, self.length)
@@ -206,6 +211,6 @@ def _packed(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.nd
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int | None = None) -> Encoder:
     """This worker's encoder."""
-    return Encoder(path)
+    return Encoder(path, remembered)
