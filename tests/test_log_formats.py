@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,26 @@ def test_one_bad_line_among_good_ones(spark):
     items = [("composerData:c", "{}"), ("bubbleId:c:1", json.dumps({"type": 2, "createdAt": "bad", "tokenCount": {"inputTokens": 1}})), ("bubbleId:c:2", "{no json"), ("bubbleId:c:3", json.dumps({"type": 2, "createdAt": "2026-01-01T00:00:00Z", "tokenCount": {"inputTokens": 2}}))]
     got = D.cursor_turns(spark.createDataFrame(items, "key string, value string"), spark.createDataFrame([], "composer string, project string")).collect()
     assert sorted(r.input_tokens for r in got) == [1, 2]
+
+
+def test_lines_are_parsed_and_folders_joined_once(spark, monkeypatch):
+    """Turns, calls and results read one table of parsed lines; a folder's turns are counted before its label is joined."""
+    from turnledger.operators import project_family as P
+    from turnledger.sources import claude as C
+
+    tool = '{"type":"tool_use","id":"c%d","name":"Bash","input":{"command":"ls"}}'
+    lines = [("/logs/s.jsonl", 2 * i, '{"type":"assistant","uuid":"e%d","sessionId":"s","cwd":"/a/b/%s","message":{"usage":{"output_tokens":5},"content":[%s]}}' % (i, "cd"[i % 3 > 0], tool % i)) for i in range(6)]
+    lines += [("/logs/s.jsonl", 2 * i + 1, '{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"c%d","is_error":%s,"content":"abc"}]}}' % (i, "true" if i == 4 else "false")) for i in range(6)]
+    lines += [("/logs/s.jsonl", 20, "{no json"), ("/logs/s.jsonl", 21, '{"type":"assistant","uuid":"plain","message":{"usage":{"output_tokens":1},"content":"[no blocks"}}')]
+    df = spark.createDataFrame(lines, "file string, ord long, value string")
+    turns = C.claude_turns(df)
+    assert not re.search(r"\bvalue#", turns._jdf.queryExecution().optimizedPlan().toString())  # the lines' text is not read again
+    rows = {r.event_key: r for r in turns.collect()}
+    assert sorted(rows) == ["e0", "e1", "e2", "e3", "e4", "e5", "plain"]
+    assert [rows[f"e{i}"].is_error for i in range(6)] == [False] * 4 + [True, False]
+    assert all(rows[f"e{i}"].tool_result_chars == {"Bash": 3} for i in range(6)) and rows["plain"].tool_result_chars is None
+    joined = []
+    label = P.folder_labels
+    monkeypatch.setattr(P, "folder_labels", lambda cwds: (joined.append(cwds.count()), label(cwds))[1])
+    assert {(r.session_id, r.project) for r in P.turn_projects(turns).collect()} == {("s", "d")}
+    assert joined == [0, 2]
