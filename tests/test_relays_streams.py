@@ -138,3 +138,63 @@ def test_tasks_of_shingles_grow_with_texts(spark, monkeypatch):
     read = output_shingles(df)
     assert S.text_parts(df) == 40 * 699 // 1000 > 4
     assert read.count() == 40 * 93
+
+
+def test_relays_in_slices_equal_all_pairs(spark, monkeypatch):
+    import turnledger.operators.similarity as S
+
+    r = random.Random(11)
+    blocks = [words(20_000 + k, 30) for k in range(15)]
+    text = lambda: " ".join(r.choice(blocks) if r.random() < 0.6 else words(r.randint(0, 10**9), 12) for _ in range(r.randint(1, 6)))
+    at = lambda: T0 + dt.timedelta(days=r.randint(0, 50), minutes=r.randint(0, 1440))
+    # Sessions that only ask, that only say, and that do both, also the same text.
+    said = [(f"s{r.randint(0, 40)}", at(), text()) for _ in range(70)]
+    asked = [(k, f"s{r.randint(20, 60)}", at(), text()) for k in range(70)] + [(100 + k, s, t, x) for k, (s, t, x) in enumerate(said[:30])]
+    held, last = {}, {}
+    for s in {x[0] for x in said}:
+        ws = [w for _, _, x in sorted((x for x in said if x[0] == s), key=lambda x: x[1]) for w in x.split()]
+        held[s], last[s] = {tuple(ws[i : i + 8]) for i in range(len(ws) - 7)}, max(x[1] for x in said if x[0] == s)
+    want = {}
+    for k, s, t, x in asked:
+        ws = x.split()
+        own = {tuple(ws[i : i + 8]) for i in range(len(ws) - 7)}
+        found = [(-len(own & held[f]) / len(own), last[f], f) for f in held if f != s and dt.timedelta(0) < t - last[f] <= dt.timedelta(days=14)] if len(own) >= 24 else []
+        if found and min(found)[0] <= -0.35:
+            want[k] = (min(found)[2], round(-min(found)[0], 6))
+    assert len(want) > 10
+    for most in (1, 8):
+        monkeypatch.setattr(S, "SLICE_CHARS", 1)
+        monkeypatch.setattr(S, "SLICES", most)
+        got = detect_relays(spark.createDataFrame(asked, "message_id long, " + TEXTS), spark.createDataFrame(said, TEXTS))
+        assert {x.message_id: (x.from_session, round(x.overlap, 6)) for x in got.collect()} == want
+
+
+def test_relays_leave_no_tables_of_shingles(spark):
+    """What a session says and holds is one row while shingles are compared, and no table with a row for each is left behind."""
+    from turnledger.operators.similarity import output_spans, session_shingles
+
+    rows = [(k, f"s{k}", T0 + dt.timedelta(minutes=k), words(k, 4000)) for k in range(30)]
+    asked, said = spark.createDataFrame(rows, "message_id long, " + TEXTS), spark.createDataFrame([x[1:] for x in rows], TEXTS)
+    span = output_spans(said).withColumn("no", F.monotonically_increasing_id())
+    each = session_shingles(asked, said, span, 3, 14).filter("shingle is not null")
+    assert each.count() == each.filter("mid is not null and no is not null").count() == 30 * 3993
+    top = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    assert detect_relays(asked, said).count() == 0
+    left = sum(os.path.getsize(f"{d}/{f}") for x in set(os.listdir(top)) - before for d, _, names in os.walk(f"{top}/{x}") for f in names)
+    assert left < 30 * 3993
+
+
+def test_shingles_meet_other_sessions_in_time_only(spark):
+    from turnledger.operators.similarity import met_shingles
+
+    rows = "shingle long, mid long, at long, no long, last long"
+    df = spark.createDataFrame([
+        (1, 10, 5, 7, 5),  # alone with itself
+        (2, 10, 5, None, None), (2, None, None, 8, 4),  # the bucket before
+        (3, 10, 5, None, None), (3, None, None, 8, 3), (3, None, None, 9, 6),  # too old, too new
+        (4, 10, 5, 7, 5), (4, 11, 6, 8, 6),  # the second message meets the first one's session
+        (5, 10, 5, None, None), (5, 11, 5, None, None),  # nobody holds it
+    ], rows)
+    got = sorted((r.shingle, r.source, r.who, r.bucket, r.often) for r in met_shingles(df, 3).collect())
+    assert got == [(2, False, 10, 5, 1), (2, True, 8, 4, 1), (4, False, 11, 6, 1), (4, True, 7, 5, 1)]
