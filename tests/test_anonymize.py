@@ -108,3 +108,17 @@ def test_the_payloads_turns_are_mapped_once(spark):
 
     files = payload(turns(spark, "/root/testdata/sf0.001")).inputFiles()
     assert files and not [f for f in files if "events.parquet" in f]
+
+
+def test_bundles_take_little_disk(spark, tmp_path):
+    """Bundles are compressed, and the table that they are cut from goes when their index is written."""
+    import os
+
+    size = lambda top: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(top) for f in names)
+    path, top = str(tmp_path / "long"), spark.conf.get("spark.checkpoint.dir")
+    lines = [(f"/a/s{i % 3}.jsonl", i, f'{{"n":{i}}}\r' + "é" * (i % 7) + "x" * 40_000) for i in range(60)] + [("/a/s1.jsonl", 70, ""), ("/b", 0, "")]
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    B.write_bundles(spark.createDataFrame(lines, "file string, ord long, value string"), path, 100_000)
+    assert size(path) < 300_000 and not [x for x in os.listdir(top) if x not in before]
+    got = sorted((r.file, tuple(r.ord), r.value) for r in B.read_bundles(spark, path).collect())
+    assert [(f, v) for f, _, v in got] == [(f, v) for f, _, v in sorted(lines)]
